@@ -5,15 +5,67 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lorebase.llm.canon import map_to_list
+from lorebase.llm.cooccur import frequent_pairs, latest_per_key
 from lorebase.llm.tokenise import encode
+from lorebase.operators.references import bare_paper_id
 from lorebase.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    verdicts = latest_per_key(
+        load(spark, folder, "relevance_verdicts"), bare_paper_id(F.col("arxiv_id")), "created_at", "key_topics"
+    )
+    papers = latest_per_key(load(spark, folder, "papers"), F.col("arxiv_id"), "created_at", "categories")
+    topics = frequent_pairs(verdicts).select(F.lit("key_topics").alias("field"), "*")
+    return topics.unionByName(frequent_pairs(papers).select(F.lit("categories").alias("field"), "*"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder).select("field", "item_a", "item_b")
+
+
+def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _pairs(spark, folder)
+
+
+def typed_values(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_table, record_key, field, raw_value) of method names and benchmarks."""
+    entry = F.explode("experiment_table.entries").alias("e")
+    methods = (
+        load(spark, folder, "deep_readings")
+        .select("arxiv_id", entry)
+        .select("arxiv_id", F.explode("e.results.method_name").alias("raw_value"))
+        .select(F.lit("deep_readings").alias("source_table"), F.col("arxiv_id").alias("record_key"), F.lit("method_name").alias("field"), "raw_value")
+    )
+    benchmarks = load(spark, folder, "sota_updates").select(
+        F.lit("sota_updates").alias("source_table"), F.col("id").cast("string").alias("record_key"), F.lit("benchmark").alias("field"), F.col("benchmark").alias("raw_value")
+    )
+    return methods.unionByName(benchmarks)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return map_to_list(typed_values(spark, folder), load(spark, folder, "canonical_names"))
+
+
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The values that stand for no entry, with the number of records that hold them."""
+    none = p3_found(spark, folder).filter("canon_id = 0")
+    return none.groupBy("source_table", "raw_value").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(load(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids}
+QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_scores": p2_scores,
+    "p3_found": p3_found,
+    "p3_unmatched": p3_unmatched,
+    "p6_ids": p6_ids,
+}

@@ -2,4 +2,48 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+#: White space inside an RE2 character class.
+WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def strip(c: str) -> str:
+    return f"regexp_replace({c}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def paper_id(c: str) -> str:
+    address = f"regexp_replace(lower({strip(c)}), '(?s)^.*/abs/', '')"
+    return strip(f"regexp_replace({strip(address)}, '^arxiv:', '')")
+
+
+def item(c: str) -> str:
+    return strip(f"regexp_replace(lower({c}), '[{WS}_-]+', ' ', 'g')")
+
+
+PAIRS = f"""
+verdicts AS (SELECT {paper_id('arxiv_id')} AS rec, key_topics AS items, created_at FROM relevance_verdicts WHERE arxiv_id IS NOT NULL),
+records AS (
+  SELECT 'key_topics' AS field, rec, items FROM verdicts
+  QUALIFY row_number() OVER (PARTITION BY rec ORDER BY created_at DESC NULLS LAST, items DESC NULLS LAST) = 1
+  UNION ALL
+  SELECT 'categories', arxiv_id, categories FROM papers
+  QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY created_at DESC NULLS LAST, categories DESC NULLS LAST) = 1),
+long AS (SELECT DISTINCT field, rec, {item('x')} AS item FROM (SELECT field, rec, unnest(items) AS x FROM records) WHERE x IS NOT NULL),
+kept AS (SELECT * FROM long WHERE item <> ''),
+total AS (SELECT field, count(DISTINCT rec) AS n FROM kept GROUP BY 1),
+single AS (SELECT field, item, count(*) AS c FROM kept GROUP BY 1, 2),
+pairs AS (
+  SELECT a.field, a.item AS item_a, b.item AS item_b, count(*) AS n_both
+  FROM kept a JOIN kept b ON a.field = b.field AND a.rec = b.rec AND a.item < b.item GROUP BY 1, 2, 3),
+cases AS (
+  SELECT p.field, item_a, item_b, n_both, x.c AS n_a, y.c AS n_b, n
+  FROM pairs p JOIN single x ON x.field = p.field AND x.item = item_a JOIN single y ON y.field = p.field AND y.item = item_b
+  JOIN total t ON t.field = p.field WHERE n_both >= 5 AND n_both * n >= 4 * x.c * y.c)
+"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {PAIRS} SELECT field, item_a, item_b FROM cases",
+    "p2_scores": f"""WITH {PAIRS} SELECT *, CAST(n_both * n AS DOUBLE) / CAST(n_a * n_b AS DOUBLE) AS lift,
+      CASE WHEN n_a > n_both THEN CAST(n_a * (n - n_b) AS DOUBLE) / (CAST(n AS DOUBLE) * (n_a - n_both)) END AS conviction_ab,
+      CASE WHEN n_b > n_both THEN CAST(n_b * (n - n_a) AS DOUBLE) / (CAST(n AS DOUBLE) * (n_b - n_both)) END AS conviction_ba
+      FROM cases""",
+}
