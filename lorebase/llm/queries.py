@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.canon import map_to_list
 from lorebase.llm.cooccur import frequent_pairs, latest_per_key
+from lorebase.llm.neardup import all_pairs, near_duplicates
 from lorebase.llm.tokenise import encode
+from lorebase.functions.text import is_blank
 from lorebase.operators.references import bare_paper_id
 from lorebase.tables import load
 
@@ -58,6 +60,21 @@ def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return none.groupBy("source_table", "raw_value").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def paper_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(arxiv_id, text): title, a space and abstract of each paper's latest row; left out if
+    either is null or blank there. Rows of the same latest moment: the largest title and
+    abstract count."""
+    latest = F.max(F.struct("created_at", "title", "abstract")).alias("r")
+    rows = load(spark, folder, "papers").groupBy("arxiv_id").agg(latest)
+    kept = rows.filter(~is_blank(F.col("r.title")) & ~is_blank(F.col("r.abstract")))
+    return kept.select("arxiv_id", F.concat_ws(" ", "r.title", "r.abstract").alias("text"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    links, members = near_duplicates(paper_texts(spark, folder), "arxiv_id", "text", n=3, threshold=0.5)
+    return all_pairs(links, members, "arxiv_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(load(spark, folder, "documents"))
 
@@ -67,5 +84,6 @@ QUERIES: dict[str, Query] = {
     "p2_scores": p2_scores,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
 }

@@ -40,7 +40,24 @@ cases AS (
   JOIN total t ON t.field = p.field WHERE n_both >= 5 AND n_both * n >= 4 * x.c * y.c)
 """
 
+PAPER_PAIRS = f"""
+WITH latest AS (
+  SELECT arxiv_id, title, abstract FROM papers
+  QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY created_at DESC NULLS LAST, title DESC NULLS LAST, abstract DESC NULLS LAST) = 1),
+texts AS (
+  SELECT arxiv_id, regexp_extract_all(lower(title || ' ' || abstract), '[a-z0-9]+') AS w FROM latest
+  WHERE {strip('title')} <> '' AND {strip('abstract')} <> ''),
+sets AS (
+  SELECT DISTINCT arxiv_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT arxiv_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+sizes AS (SELECT arxiv_id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (SELECT a.arxiv_id AS id_a, b.arxiv_id AS id_b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.arxiv_id < b.arxiv_id GROUP BY 1, 2)
+SELECT id_a, id_b FROM shared JOIN sizes x ON x.arxiv_id = id_a JOIN sizes y ON y.arxiv_id = id_b
+WHERE 2 * shared.n >= x.n + y.n - shared.n
+"""
+
 SQL: dict[str, str] = {
+    "p5_found": PAPER_PAIRS,
     "p2_found": f"WITH {PAIRS} SELECT field, item_a, item_b FROM cases",
     "p2_scores": f"""WITH {PAIRS} SELECT *, CAST(n_both * n AS DOUBLE) / CAST(n_a * n_b AS DOUBLE) AS lift,
       CASE WHEN n_a > n_both THEN CAST(n_a * (n - n_b) AS DOUBLE) / (CAST(n AS DOUBLE) * (n_a - n_both)) END AS conviction_ab,
