@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.llm.buckets import BLOCK, bucket_pairs, crowded_members
 from lorebase.session import stage
 
 #: MinHash values a text may have, and the chance that a pair exactly at the threshold is missed.
@@ -19,8 +20,6 @@ MISS = 0.001
 #: The odd sketch: so many MinHash values folded into so many bits.
 SKETCH_SAMPLES = 256
 SKETCH_WORDS = 16
-#: Members of a bucket that are paired in one block; larger buckets are split into blocks.
-BLOCK = 1024
 
 
 def words(text: Column) -> Column:
@@ -138,36 +137,23 @@ def sign_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
 def candidate_pairs(signed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(rep_a, rep_b), rep_a < rep_b: pairs that share a band and whose sketches are near.
 
-    Only buckets with two members or more get sketches. A bucket is cut into blocks of about
-    ``block`` members and each pair of blocks is its own join key, so no task meets a large
-    bucket; the XOR population count is part of the join's condition, so pairs it rejects are
-    never rows.
+    Only members of buckets with two or more get sketches; the XOR population count is part of
+    the join's condition.
     """
-    bands = signed.select("rep", F.explode("bands").alias("key"))
-    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sketches = signed.drop("shingles", "bands")
-    members = (
-        bands.join(crowded, "key")
-        .withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int"))
-        .join(sketches, "rep")
-    )
-    words_ = [f"s{w}" for w in range(SKETCH_WORDS)]
-    # a member meets its own block, as left side all blocks behind it, as right all before it
-    left = members.select("key", "part", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other"), "rep", *words_)
-    right = members.select("key", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("part"), F.col("part").alias("other"), "rep", *words_)
-    x, y = left.alias("x"), right.alias("y")
-    differ = F.lit(0)
-    for w in words_:
-        differ = differ + F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}")))
-    same = (F.col("x.part") != F.col("x.other")) | (F.col("x.rep") < F.col("y.rep"))
-    near = differ <= most_differing_bits(threshold)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.other") == F.col("y.other"))
-    return (
-        x.join(y, on & same & near)
-        .select(F.least("x.rep", "y.rep").alias("rep_a"), F.greatest("x.rep", "y.rep").alias("rep_b"))
-        .distinct()
-    )
+    bands = signed.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    sketches = signed.drop("shingles", "bands").withColumnRenamed("rep", "id")
+    members = crowded_members(bands, block).join(sketches, "id")
+    cols = [f"s{w}" for w in range(SKETCH_WORDS)]
+    most = most_differing_bits(threshold)
+
+    def near(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+        differ = F.lit(0)
+        for c in cols:
+            differ = differ + F.bit_count(x(c).bitwiseXOR(y(c)))
+        return differ <= most
+
+    pairs = bucket_pairs(members, cols, near)
+    return pairs.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"))
 
 
 def near_duplicates(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.canon import map_to_list
 from lorebase.llm.cooccur import frequent_pairs, latest_per_key
+from lorebase.llm.names import link_variants, variant_pairs
 from lorebase.llm.neardup import all_pairs, near_duplicates
 from lorebase.llm.tokenise import encode
 from lorebase.functions.text import is_blank
@@ -60,6 +61,15 @@ def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return none.groupBy("source_table", "raw_value").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with the least spelling of the same person or group."""
+    return link_variants(load(spark, folder, "papers").select(F.explode("authors").alias("name")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_pairs(p4_entities(spark, folder))
+
+
 def paper_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(arxiv_id, text): title, a space and abstract of each paper's latest row; left out if
     either is null or blank there. Rows of the same latest moment: the largest title and
@@ -84,6 +94,8 @@ QUERIES: dict[str, Query] = {
     "p2_scores": p2_scores,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
 }
