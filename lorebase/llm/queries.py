@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lorebase.llm.canon import map_to_list
 from lorebase.llm.cooccur import frequent_pairs, latest_per_key
+from lorebase.llm.mixing import mix, shares
 from lorebase.llm.names import link_variants, variant_pairs
 from lorebase.llm.neardup import all_pairs, near_duplicates
+from lorebase.llm.spam import score_pages, spam_pages
 from lorebase.llm.tokenise import encode
 from lorebase.functions.text import is_blank
 from lorebase.operators.references import bare_paper_id
@@ -89,6 +91,30 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(load(spark, folder, "documents"))
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix with their number of copies."""
+    return mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every source of mix_targets."""
+    return shares(p7_mix(spark, folder), load(spark, folder, "mix_targets"))
+
+
+def p7_shares_full_size(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_shares, for a mix as large as the listed sources: small sources fall short."""
+    targets = load(spark, folder, "mix_targets")
+    return shares(mix(load(spark, folder, "documents"), targets, total_tokens="listed_tokens"), targets)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages(load(spark, folder, "documents"))
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_pages(load(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_scores": p2_scores,
@@ -98,4 +124,9 @@ QUERIES: dict[str, Query] = {
     "p4_entities": p4_entities,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p7_shares_full_size": p7_shares_full_size,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
 }
