@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.functions.text import latter_two_thirds, lines, strip
+from lorebase.functions.text import WHITE, latter_two_thirds, lines, strip
 
 #: Heading patterns by priority, each after an optional number; open-ended. Fixed values.
 HEADINGS = [
@@ -28,11 +28,14 @@ STANDARD = ["abstract", "introduction", "related_work", "background", "method",
 
 
 def heading(line: Column, patterns: list[tuple[str, str]] = HEADINGS) -> Column:
-    """The section that a line begins, null for other lines."""
-    text = strip(line)
-    out = F.when(F.length(text) == 0, F.lit(None).cast("string"))
+    """The section that a line begins, null for other lines.
+
+    One anchored pattern rejects nearly all lines; only headings are asked for their name.
+    """
+    start = rf"(?i)^[{WHITE}]*(?:[0-9]+[.]?\s*)?"
+    out = F.when(~line.rlike(start + "(?:" + "|".join(p for _, p in patterns) + ")"), F.lit(None).cast("string"))
     for name, pattern in patterns:
-        out = out.when(text.rlike(rf"(?i)^(?:[0-9]+[.]?\s*)?{pattern}"), name)
+        out = out.when(line.rlike(start + pattern), name)
     return out
 
 
