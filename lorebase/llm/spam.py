@@ -55,6 +55,7 @@ _URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>\])]+", re.I)
 _MARKUP = re.compile(r"\[url=[^\]]*\]|\[/url\]|<a\s[^>]*>|</a>|\]\((?:https?://|www\.)[^)\s]*\)|(?:https?://|www\.)[^\s\"'<>\])]+", re.I)
 _HASH = re.compile(r"[#＃]\w[\w\-]*")
 _PRODUCT = re.compile(r"\bsku\b|\btags?\s*:|\bmots[- ]clés\s*:|\betiquetas\s*:|\bschlagw\w+\s*:|标签\s*[:：]|\bprice\s*:|\bisbn\b", re.I)
+PRODUCT_MARKS = ("sku", "tag", "mots", "etiquetas", "schlagw", "标签", "price", "isbn")
 _SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|[\r\n\x0b\x0c\x85  ]+")
 _ITEMS = re.compile(r"[,;|•·/»、，；]|\s-\s")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
@@ -89,7 +90,7 @@ def features(text: str) -> list[float]:
     has_links = "http" in lower or "www." in lower
     has_hash, has_han = "#" in text or "＃" in text, not text.isascii() and _CJK.search(text) is not None
     phrases = [p for p in PHRASES if p in lower]
-    has_product = _PRODUCT.search(text) is not None
+    has_product = any(m in lower for m in PRODUCT_MARKS) and _PRODUCT.search(lower) is not None
     chunks = [c for c in _SPLIT.split(lower) if c and not c.isspace()]
     bare = [_MARKUP.sub(" ", c) if has_links and ("http" in c or "www." in c or "[" in c or "<" in c) else c for c in chunks]
     words = [_WORD.findall(b) for b in bare]
