@@ -26,8 +26,7 @@ def tables_of(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def save(tables: dict[str, DataFrame], folder: str, names: list[str]) -> None:
-    for t in names:
-        bundle.write_table(tables[t], str(Path(folder, f"{t}.parquet")))
+    bundle.write_tables({str(Path(folder, f"{t}.parquet")): tables[t] for t in dict.fromkeys(names)})
 
 
 def parser() -> argparse.ArgumentParser:
@@ -117,13 +116,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         tables, e = pipeline.analyse_stage(tables, ask, as_of, settings, run=int(now.timestamp()))
         errors.append(e)
         changed += ["contribution_deltas", "leaderboard", "sota_updates"]
-    save(tables, a.data, changed)
     failed = 0
     for e in errors:
         for arxiv_id, error in e.limit(1000).toLocalIterator():
             failed += 1
             if a.verbose:
                 print(f"{arxiv_id}: {error}", file=sys.stderr)
+    save(tables, a.data, changed)
     return 1 if a.command == "read" and failed else 0
 
 

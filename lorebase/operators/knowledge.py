@@ -18,7 +18,7 @@ def documents_of(readings: DataFrame, papers: DataFrame) -> DataFrame:
     ``stack`` makes the three rows in one pass over the readings.
     """
     titled = readings.select("arxiv_id", "key_contributions", "proposed_method", "comparison_to_prior_work").join(
-        papers.groupBy("arxiv_id").agg(F.max_by("title", "created_at").alias("title")), "arxiv_id"
+        papers.groupBy("arxiv_id").agg(F.max_by("title", F.struct("created_at")).alias("title")), "arxiv_id"
     )
     head = F.concat(F.lit("Paper: "), F.col("title"), F.lit("\n"))
     made = titled.select(

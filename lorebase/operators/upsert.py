@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def last_of_each(new: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """A batch that names a key more than once counts as its rows one after the other."""
+    """A batch that names a key more than once counts as its rows one after the other.
+
+    A null order is the earliest: inside a struct it is not ignored, as max_by ignores it alone.
+    """
     others = [c for c in new.columns if c not in key]
-    return new.groupBy(*key).agg(F.max_by(F.struct(*others), order).alias("_r")).select(*key, "_r.*").select(*new.columns)
+    return new.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("_r")).select(*key, "_r.*").select(*new.columns)
 
 
 def upsert_columns(old: DataFrame, new: DataFrame, key: str, replace: list[str]) -> DataFrame:

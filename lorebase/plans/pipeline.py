@@ -102,7 +102,7 @@ def analyse_stage(tables: Tables, analyst: Provider, as_of: Column, settings: Se
     ordered set operations (``conflicts_as_of``, ``actions``), not from a loop.
     """
     fresh = gates.unanalysed(tables["deep_readings"], tables["contribution_deltas"])
-    titles = tables["papers"].groupBy("arxiv_id").agg(F.max_by("title", "created_at").alias("title"))
+    titles = tables["papers"].groupBy("arxiv_id").agg(F.max_by("title", F.struct("created_at")).alias("title"))
     text = knowledge.query_text(F.col("title"), F.col("problem_statement"), F.col("proposed_method"))
     asked = fresh.join(titles, "arxiv_id").select("arxiv_id", F.concat(F.lit("What is new here? Answer in JSON.\n\n"), text).alias("prompt"))
     asked = asked.withColumn("request_key", providers.request_key(F.col("prompt"), settings.model, settings.temperature))

@@ -413,7 +413,7 @@ def kb_documents(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_READINGS}, {_TITLES} SELECT arxiv_id, md5(concat_ws(' ', title, problem_statement, proposed_method)) AS query FROM readings JOIN titles USING (arxiv_id)",
 )
 def kb_query_text(spark: SparkSession, d: str) -> DataFrame:
-    titles = load(spark, d, "papers").groupBy("arxiv_id").agg(F.max_by("title", "created_at").alias("title"))
+    titles = load(spark, d, "papers").groupBy("arxiv_id").agg(F.max_by("title", F.struct("created_at")).alias("title"))
     text = knowledge.query_text(F.col("title"), F.col("problem_statement"), F.col("proposed_method"))
     return latest_readings(spark, d).join(titles, "arxiv_id").select("arxiv_id", F.md5(text).alias("query"))
 

@@ -62,12 +62,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame's plan, in bytes (files: their size on disk)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether the frame has at most ``bound`` rows; reads no more than it must to know."""
     return df.limit(bound + 1).count() <= bound

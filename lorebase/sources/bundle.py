@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.operators.upsert import last_of_each, upsert_papers, upsert_rows
-from lorebase.session import table_bytes
+from lorebase.session import rows_at_most
 from lorebase.sources.files import valid_name
 from lorebase.tables import empty, schema
 
 VERSION = 1
 TABLES = ("papers", "relevance_verdicts", "deep_readings", "contribution_deltas")
-#: Bytes of all tables up to which a single document may be made.
-ONE_DOCUMENT_BYTES = 256 << 20
+#: Rows of a table up to which it may become an array of a single document.
+ONE_DOCUMENT_ROWS = 100_000
 
 
 def export_bundle(tables: dict[str, DataFrame], folder: str, at: datetime, config: dict[str, Any] | None = None, boards: dict[str, str] | None = None) -> None:
@@ -88,9 +88,9 @@ def one_document(tables: dict[str, DataFrame], at: datetime, config: dict[str, A
     Only for tables of a checked size, since an array is one value; larger ones are exported as
     a folder.
     """
-    size = sum(table_bytes(df) for df in tables.values())
-    if size > ONE_DOCUMENT_BYTES:
-        raise ValueError(f"{size} bytes are too much for one document; use export_bundle")
+    for name, df in tables.items():
+        if name in TABLES and not rows_at_most(df, ONE_DOCUMENT_ROWS):
+            raise ValueError(f"{name} has too many rows for one document; use export_bundle")
     out = None
     for name in TABLES:
         if name not in tables:
@@ -103,17 +103,22 @@ def one_document(tables: dict[str, DataFrame], at: datetime, config: dict[str, A
     return out.select(F.to_json(F.struct(*head, *out.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Overwrites a Parquet table that the frame itself may read: written aside, then swapped.
+def write_tables(frames: dict[str, DataFrame]) -> None:
+    """Overwrites Parquet tables, by path, that the frames themselves may read.
 
-    On whatever file system the path is; the swap is a rename.
+    All are written aside before any is swapped in by a rename, on whatever file system they are.
     """
-    spark = df.sparkSession
-    aside = f"{path}.new"
-    df.write.mode("overwrite").parquet(aside)
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not move {aside} to {path}")
+    for path, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{path}.new")
+    for path, df in frames.items():
+        spark = df.sparkSession
+        jvm = spark._jvm
+        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        if not fs.rename(new, old):
+            raise OSError(f"could not move {path}.new to {path}")
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    write_tables({path: df})
