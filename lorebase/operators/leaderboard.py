@@ -207,34 +207,49 @@ def raw_lines_page(existing: Column, benchmark: Column, setting: Column, arxiv_i
 
 
 def _render(rows: list[dict[str, Any]]) -> str:
+    by_setting: dict[str, dict[str, list[dict[str, Any]]]] = {}
+    metrics: dict[str, set[str]] = {}
+    for r in rows:
+        by_setting.setdefault(r["setting"], {}).setdefault(r["method"], []).append(r)
+        metrics.setdefault(r["setting"], set()).add(r["metric"])
     out = []
-    for setting in sorted({r["setting"] for r in rows}):
-        own = [r for r in rows if r["setting"] == setting]
-        names = sorted({r["metric"] for r in own})
+    for setting in sorted(by_setting):
+        names = sorted(metrics[setting])
         out += [f"## {setting}", "| Rank | Method | " + " | ".join(names) + " | Paper | Notes |", "|" + "---|" * (len(names) + 4)]
-        for i, m in enumerate(dict.fromkeys(r["method"] for r in own), 1):
-            values = {r["metric"]: r["value"] for r in own if r["method"] == m}
-            paper = [r["arxiv_id"] for r in own if r["method"] == m][-1]
-            out.append(f"| {i} | {m} | " + " | ".join(str(values.get(n, "-")) for n in names) + f" | {paper} |  |")
+        for i, (m, own) in enumerate(by_setting[setting].items(), 1):
+            values = {r["metric"]: r["value"] for r in own}
+            out.append(f"| {i} | {m} | " + " | ".join(str(values.get(n, "-")) for n in names) + f" | {own[-1]['arxiv_id']} |  |")
     return "\n".join(out)
 
 
+class Page:
+    """A rendered board, taken apart once for many look-ups."""
+
+    def __init__(self, md: str):
+        bars = [x for x in md.split("\n") if "|" in x]
+        heads = (x for x in bars if "Rank" in x)
+        self.heads = [[re.sub("[↑↓]", "", h).strip().lower() for h in x.split("|")] for x in heads]
+        rows = ([c.strip() for c in x.split("|")] for x in bars if "---" not in x and "Rank" not in x)
+        self.rows = [((cs[2] if len(cs) > 2 else "").lower(), cs) for cs in rows]
+
+    def value(self, method: str, metric: str) -> float | None:
+        """find_value in Python, for the fold and as the tests' second opinion."""
+        name, wanted = method.lower(), metric.lower()
+        for head in self.heads:
+            if wanted not in head:
+                continue
+            at = head.index(wanted)
+            for cell, cs in self.rows:
+                if len(cs) > at and (name in cell or cell in name):
+                    try:
+                        return float(cs[at])
+                    except ValueError:
+                        pass
+        return None
+
+
 def lookup(md: str, method: str, metric: str) -> float | None:
-    """find_value in Python, for the fold and as the tests' second opinion."""
-    rows = [[c.strip() for c in x.split("|")] for x in md.split("\n") if "|" in x and "---" not in x and "Rank" not in x]
-    for head in (x for x in md.split("\n") if "|" in x and "Rank" in x):
-        names = [re.sub("[↑↓]", "", h).strip().lower() for h in head.split("|")]
-        if metric.lower() not in names:
-            continue
-        at = names.index(metric.lower())
-        for cs in rows:
-            cell = cs[2] if len(cs) > 2 else ""
-            if len(cs) > at and (method.lower() in cell.lower() or cell.lower() in method.lower()):
-                try:
-                    return float(cs[at])
-                except ValueError:
-                    pass
-    return None
+    return Page(md).value(method, metric)
 
 
 def fold(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -245,21 +260,23 @@ def fold(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: list[dict[str, Any]] = []
+        state: dict[tuple[str, str, str], dict[str, Any]] = {}
         out = []
         pdf = pdf.sort_values(["seq", "arxiv_id", "entry_pos", "result_pos"])
         for _, paper in pdf.groupby(["seq", "arxiv_id"], sort=False):
             for _, group in paper.groupby("setting", sort=False):
-                md = _render(state)
-                for r in group.to_dict("records"):
-                    if md and not r["is_paper_method"] and r["value"] is not None and r["value"] == r["value"]:
-                        old = lookup(md, r["method"], r["metric"])
+                records = group.to_dict("records")
+                page = Page(_render(list(state.values()))) if state and not all(r["is_paper_method"] for r in records) else None
+                for r in records:
+                    if page and not r["is_paper_method"] and r["value"] is not None and r["value"] == r["value"]:
+                        old = page.value(r["method"], r["metric"])
                         if old is not None and old == old and old != 0 and abs(r["value"] - old) / abs(old) > tolerance:
                             out.append((r["slug"], r["arxiv_id"], r["setting"], r["metric"], r["method"], r["value"], old))
-                for r in group.to_dict("records"):
+                for r in records:
                     if r["value"] is not None and r["value"] == r["value"]:
                         key = (r["setting"], r["metric"], r["method"])
-                        state = [s for s in state if (s["setting"], s["metric"], s["method"]) != key] + [r]
+                        state.pop(key, None)
+                        state[key] = r
         return pd.DataFrame(out, columns=["slug", "arxiv_id", "setting", "metric", "method", "value", "existing_value"])
 
     cols = rows.select("slug", "arxiv_id", "seq", "setting", "metric", "method", "value", "is_paper_method", "entry_pos", "result_pos")
