@@ -445,3 +445,71 @@ def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
 @register("slugify", f"SELECT DISTINCT benchmark, {_SLUG} AS slug FROM sota_updates WHERE benchmark IS NOT NULL")
 def slugify(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "sota_updates").filter("benchmark IS NOT NULL").select("benchmark", slug(F.col("benchmark")).alias("slug")).distinct()
+
+
+# --- bundles, notes, reports -----------------------------------------------------------------
+
+
+@register("export_rows", f"SELECT arxiv_id, coalesce(score, -999) AS score, justification, array_to_string(key_topics, '|') AS key_topics, strftime(created_at, '{SQL_STAMP}') AS created FROM relevance_verdicts")
+def export_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts as a bundle writes them, JSON with nulls kept, and as it reads them back."""
+    from lorebase.sources.bundle import JSON
+    from lorebase.tables import schema
+
+    rows = load(spark, d, "relevance_verdicts").select(schema("relevance_verdicts").names)
+    written = rows.select(F.to_json(F.struct(*rows.columns), JSON).alias("j"))
+    back = written.select(F.from_json("j", schema("relevance_verdicts"), JSON).alias("r")).select("r.*")
+    return back.select("arxiv_id", F.coalesce("score", F.lit(-999)).alias("score"), "justification", F.array_join("key_topics", "|").alias("key_topics"), stamp("created_at").alias("created"))
+
+
+@register(
+    "conflict_notes",
+    f"""WITH {_BOARD}, seen AS (SELECT *, last_value(value) OVER w AS o, last_value(arxiv_id) OVER w AS source FROM board WHERE value IS NOT NULL
+         WINDOW w AS (PARTITION BY slug, setting, lower(metric), lower(method) ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+       SELECT arxiv_id, slug, setting, string_agg('> ⚠ ' || method || '/' || metric || ': paper reports ' || CAST(value AS VARCHAR) || ', existing shows ' || CAST(o AS VARCHAR) || ' (from ' || coalesce(source, 'unknown') || '). Cause unknown.', chr(10) ORDER BY entry_pos, result_pos) AS notes
+       FROM seen WHERE NOT is_paper_method AND {_CONFLICT} GROUP BY 1, 2, 3""",
+)
+def conflict_notes(spark: SparkSession, d: str) -> DataFrame:
+    found = leaderboard.conflicts_as_of(board(spark, d))
+    note = leaderboard.conflict_note(F.col("method"), F.col("metric"), F.col("value"), F.col("existing_value"), F.col("paper_source"))
+    listed = F.array_sort(F.collect_list(F.struct("entry_pos", "result_pos", note.alias("t"))))
+    return found.groupBy("arxiv_id", "slug", "setting").agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n").alias("notes"))
+
+
+@register(
+    "update_report",
+    f"""WITH {_GROUPED}, seen AS (SELECT *, last_value(value) OVER w AS o FROM board WHERE value IS NOT NULL
+         WINDOW w AS (PARTITION BY slug, setting, lower(metric), lower(method) ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+       c AS (SELECT arxiv_id, benchmark, setting, count(*) AS n FROM seen WHERE NOT is_paper_method AND {_CONFLICT} GROUP BY 1, 2, 3)
+       SELECT arxiv_id, count(*) AS n_actions, CAST(sum(coalesce(n, 0)) AS BIGINT) AS conflicts_found, CAST(sum(coalesce(n, 0)) AS BIGINT) AS conflicts_resolved
+       FROM grouped LEFT JOIN c USING (arxiv_id, benchmark, setting) GROUP BY 1""",
+)
+def update_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = board(spark, d)
+    grouped = rows.groupBy("slug", "seq", "arxiv_id", "benchmark", "setting").agg(F.min("entry_pos").alias("group_pos"))
+    return leaderboard.report(leaderboard.actions(grouped, leaderboard.conflicts_as_of(rows)))
+
+
+@register("to_fetch", "SELECT arxiv_id, min(pdf_url) AS pdf_url, translate(arxiv_id, '/.', '__') || '.pdf' AS path FROM papers p WHERE pdf_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM deep_readings r WHERE r.arxiv_id = p.arxiv_id) GROUP BY 1")
+def to_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """Papers that have been read stand in for files that are there."""
+    from lorebase.functions.text import safe_id
+    from lorebase.sources.files import to_fetch as wanted
+
+    there = load(spark, d, "deep_readings").select(F.concat(safe_id(F.col("arxiv_id")), F.lit(".pdf")).alias("path"))
+    return wanted(load(spark, d, "papers"), there)
+
+
+@register("json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@register("html_text", "SELECT arxiv_id, md5(title || chr(10) || 'a & b') AS body FROM (SELECT DISTINCT arxiv_id, title FROM papers WHERE title IS NOT NULL AND NOT regexp_matches(title, '[<>&]|\\s\\s|^\\s|\\s$'))")
+def html_text(spark: SparkSession, d: str) -> DataFrame:
+    """Titles wrapped as a page, and taken out of it again."""
+    from lorebase.sources.files import html_text as visible
+
+    titles = load(spark, d, "papers").filter("title IS NOT NULL").filter(~F.col("title").rlike(r"[<>&]|\s\s|^\s|\s$")).select("arxiv_id", "title").distinct()
+    page = F.concat(F.lit("<html><script>if (a < b) {}</script><h1>"), "title", F.lit("</h1><!-- c --><p>a &amp; b</p></html>"))
+    return titles.select("arxiv_id", F.md5(visible(page)).alias("body"))

@@ -22,6 +22,8 @@ from lorebase.tables import empty, schema
 
 VERSION = 1
 TABLES = ("papers", "relevance_verdicts", "deep_readings", "contribution_deltas")
+#: JSON with nulls kept and times to the microsecond, which the default would cut.
+JSON = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Rows of a table up to which it may become an array of a single document.
 ONE_DOCUMENT_ROWS = 100_000
 
@@ -29,7 +31,7 @@ ONE_DOCUMENT_ROWS = 100_000
 def export_bundle(tables: dict[str, DataFrame], folder: str, at: datetime, config: dict[str, Any] | None = None, boards: dict[str, str] | None = None) -> None:
     for name in TABLES:
         if name in tables:
-            tables[name].select(schema(name).names).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
+            tables[name].select(schema(name).names).write.mode("overwrite").options(**JSON).json(f"{folder}/{name}")
     pages = {valid_name(k): v for k, v in sorted((boards or {}).items())}
     manifest = {
         "version": VERSION, "exported_at": at.isoformat(), "config": config or {},
@@ -49,7 +51,7 @@ def read_manifest(folder: str) -> dict[str, Any]:
 
 def read_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     read_manifest(folder)
-    return {t: spark.read.schema(schema(t)).json(f"{folder}/{t}") if Path(folder, t).exists() else empty(spark, t) for t in TABLES}
+    return {t: spark.read.schema(schema(t)).options(**JSON).json(f"{folder}/{t}") if Path(folder, t).exists() else empty(spark, t) for t in TABLES}
 
 
 def import_bundle(spark: SparkSession, folder: str, old: dict[str, DataFrame], merge: bool, boards_folder: str | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
@@ -100,7 +102,7 @@ def one_document(tables: dict[str, DataFrame], at: datetime, config: dict[str, A
         out = part if out is None else out.join(F.broadcast(part))  # one row each
     assert out is not None
     head = [F.lit(VERSION).alias("version"), F.lit(at.isoformat()).alias("exported_at"), F.lit(json.dumps(config or {})).alias("config")]
-    return out.select(F.to_json(F.struct(*head, *out.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return out.select(F.to_json(F.struct(*head, *out.columns), JSON).alias("json"))
 
 
 def write_tables(frames: dict[str, DataFrame]) -> None:

@@ -17,7 +17,7 @@ from lorebase.streaming import incremental
 from lorebase.tables import empty, migrate, schema, violations
 
 DATA = "/root/testdata/sf0.001"
-NOW = datetime(2024, 1, 31)
+NOW = datetime(2024, 1, 31, 1, 2, 3, 456789)
 
 
 YAML = """# a comment
