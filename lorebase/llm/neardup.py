@@ -110,7 +110,11 @@ def estimate(differing: float, samples: int = SKETCH_SAMPLES, bits: int = 64 * S
 
 
 def sign_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(rep, shingles, bands, s0..) of each distinct shingle set; texts: (rep, shingles)."""
+    """(rep, id, shingles, bands, s0..) of each distinct shingle set; texts: (rep, shingles).
+
+    id is a number in place of the key: what goes through the large exchanges is two numbers. It
+    is only stable once the result is staged.
+    """
     rows, bands = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,17 +135,18 @@ def sign_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     names = ["rep", "shingles", "bands", *(f"s{w}" for w in range(SKETCH_WORDS))]
     kind = dict(texts.dtypes)["rep"]
     longs = ", ".join(f"s{w} bigint" for w in range(SKETCH_WORDS))
-    return texts.select("rep", "shingles").mapInArrow(run, f"rep {kind}, shingles array<bigint>, bands array<bigint>, {longs}")
+    made = texts.select("rep", "shingles").mapInArrow(run, f"rep {kind}, shingles array<bigint>, bands array<bigint>, {longs}")
+    return made.withColumn("id", F.monotonically_increasing_id())
 
 
 def candidate_pairs(signed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(rep_a, rep_b), rep_a < rep_b: pairs that share a band and whose sketches are near.
+    """(id_a, id_b), id_a < id_b: pairs that share a band and whose sketches are near.
 
     Only members of buckets with two or more get sketches; the XOR population count is part of
     the join's condition.
     """
-    bands = signed.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    sketches = signed.drop("shingles", "bands").withColumnRenamed("rep", "id")
+    bands = signed.select(F.explode("bands").alias("key"), "id")
+    sketches = signed.drop("shingles", "bands", "rep")
     members = crowded_members(bands, block).join(sketches, "id")
     cols = [f"s{w}" for w in range(SKETCH_WORDS)]
     most = most_differing_bits(threshold)
@@ -152,8 +157,7 @@ def candidate_pairs(signed: DataFrame, threshold: float, block: int = BLOCK) ->
             differ = differ + F.bit_count(x(c).bitwiseXOR(y(c)))
         return differ <= most
 
-    pairs = bucket_pairs(members, cols, near)
-    return pairs.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"))
+    return bucket_pairs(members, cols, near)
 
 
 def near_duplicates(
@@ -186,11 +190,11 @@ def near_duplicates(
     reps = groups.select("rep", "h1", "h2").join(hashed.withColumnRenamed("k", "rep"), ["rep", "h1", "h2"]).select("rep", "shingles").dropDuplicates(["rep"])
     signed = stage(sign_texts(reps, n, threshold), "signed")
     pairs = candidate_pairs(signed, threshold)
-    of = signed.select("rep", "shingles")
-    a = of.select(F.col("rep").alias("rep_a"), F.col("shingles").alias("sa"))
-    b = of.select(F.col("rep").alias("rep_b"), F.col("shingles").alias("sb"))
+    of = signed.select("id", "rep", "shingles")
+    a, b = (of.select(F.col("id").alias(f"id_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     limit = Fraction(threshold).limit_denominator(10_000)
-    both = pairs.join(a, "rep_a").join(b, "rep_b").select("rep_a", "rep_b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
+    first, second = F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")
+    both = pairs.join(a, "id_a").join(b, "id_b").select(first, second, F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
     links = both.filter(F.col("i") * limit.denominator >= (F.col("s") - F.col("i")) * limit.numerator)
     return links.select("rep_a", "rep_b", (F.col("i") / (F.col("s") - F.col("i"))).alias("jaccard")), members
 
