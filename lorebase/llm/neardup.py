@@ -147,7 +147,8 @@ def candidate_pairs(signed: DataFrame, threshold: float, block: int = BLOCK) ->
     """
     bands = signed.select(F.explode("bands").alias("key"), "id")
     sketches = signed.drop("shingles", "bands", "rep")
-    members = crowded_members(bands, block).join(sketches, "id")
+    # staged: both sides of the pairing read it, and it is a small part of all bands
+    members = stage(crowded_members(bands, block), "crowded").join(sketches, "id")
     cols = [f"s{w}" for w in range(SKETCH_WORDS)]
     most = most_differing_bits(threshold)
 
@@ -186,8 +187,8 @@ def near_duplicates(
     hashed = stage(sets, "shingles").filter(F.size("shingles") > 0)
     hashed = hashed.select("k", "shingles", F.xxhash64("shingles").alias("h1"), F.md5(F.array_join("shingles", ",")).alias("h2"))
     groups = hashed.groupBy("h1", "h2").agg(F.min("k").alias("rep"))
-    members = hashed.select("k", "h1", "h2").join(groups, ["h1", "h2"]).select(F.col("k").alias(key), "rep").distinct()
-    reps = groups.select("rep", "h1", "h2").join(hashed.withColumnRenamed("k", "rep"), ["rep", "h1", "h2"]).select("rep", "shingles").dropDuplicates(["rep"])
+    members = stage(hashed.select("k", "h1", "h2").join(groups, ["h1", "h2"]).select(F.col("k").alias(key), "rep").distinct(), "members")
+    reps = hashed.join(members.filter(F.col(key) == F.col("rep")).select("rep"), hashed.k == F.col("rep"), "left_semi").select(F.col("k").alias("rep"), "shingles").dropDuplicates(["rep"])
     signed = stage(sign_texts(reps, n, threshold), "signed")
     pairs = candidate_pairs(signed, threshold)
     of = signed.select("id", "rep", "shingles")
