@@ -189,7 +189,7 @@ def report(acted: DataFrame) -> DataFrame:
 
 
 def conflict_note(method: Column, metric: Column, new: Column, old: Column, source: Column) -> Column:
-    """The note for a conflict that nothing more is known about."""
+    """The note for a conflict that nothing more is known about. Fixed format."""
     return F.concat(
         F.lit("> ⚠ "), method, F.lit("/"), metric, F.lit(": paper reports "), new.cast("string"), F.lit(", existing shows "), old.cast("string"),
         F.lit(" (from "), F.coalesce(source, F.lit("unknown")), F.lit("). Cause unknown."),
@@ -197,7 +197,8 @@ def conflict_note(method: Column, metric: Column, new: Column, old: Column, sour
 
 
 def raw_lines_page(existing: Column, benchmark: Column, setting: Column, arxiv_id: Column, result_lines: Column) -> Column:
-    """A board's text when no table can be made: the raw lines, on a new page or behind a mark."""
+    """A board's text when no table can be made: the raw lines, on a new page or behind a mark.
+    Fixed format."""
     fresh = F.concat(F.lit("# "), benchmark, F.lit("\n\n## "), setting, F.lit("\n\n"), result_lines, F.lit("\n"))
     more = F.concat(existing, F.lit("\n\n<!-- Raw data from "), arxiv_id, F.lit(" -->\n"), result_lines, F.lit("\n"))
     return F.when(F.length(existing) > 0, more).otherwise(fresh)

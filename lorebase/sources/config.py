@@ -50,7 +50,7 @@ class Config:
     scraper: Scraper = field(default_factory=Scraper)
     filter: Filter = field(default_factory=Filter)
     db_path: str = "data/papers.db"
-    chroma_path: str = "data/chroma"
+    vector_path: str = "data/vectors"
     pdf_dir: str = "data/pdfs"
     sota_dir: str = "data/sota"
 
@@ -171,7 +171,10 @@ def load_config(path: str, env_key: str = "LOREBASE_API_KEY") -> Config:
     environment. A missing file gives the defaults."""
     raw = read_yaml(Path(path).read_text(encoding="utf-8")) if Path(path).exists() else None
     raw = raw or {}
-    plain = {k: v for k, v in raw.items() if k in ("db_path", "chroma_path", "pdf_dir", "sota_dir")}
+    plain = {k: v for k, v in raw.items() if k in ("db_path", "pdf_dir", "sota_dir")}
+    # older files call the place of the vectors after the store that they used
+    vectors = [v for k, v in raw.items() if k.endswith("_path") and k != "db_path"]
+    plain |= {"vector_path": raw.get("vector_path", vectors[0])} if vectors else {}
     config = Config(
         [_fill(Topic, {**t, "categories": t.get("categories") or [], "research_profile": t.get("research_profile") or ""}) for t in raw.get("topics") or []],
         _fill(Models, raw.get("llm")), _fill(Scraper, raw.get("scraper")), _fill(Filter, raw.get("filter")), **plain,
