@@ -178,8 +178,8 @@ def score_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
 
     Weak labels: 1 where at least SURE of the characters are links, tags, lists of keywords or
     repetitions, 0 where at most CLEAN are, none between. Bagged trees are fitted on at most
-    ``sample`` labelled pages, half of each label at most, in the order of a hash of the key and
-    score all pages. The spam rate of a host, over all its pages, shrunk to the overall rate,
+    ``sample`` labelled pages, half of each label at most, the first in the order of a hash of key
+    and features, and score all pages. The spam rate of a host, over all its pages, shrunk to the overall rate,
     then shifts the page's log-odds by WEIGHT times its distance from the overall log-odds.
 
     The page's host is whatever column says where pages come from. Features are computed once
@@ -195,9 +195,16 @@ def score_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     long = pages.filter(F.col("size") >= LEAST_CHARS)
     label = F.when(F.col("spam_share") >= SURE, 1.0).when(F.col("spam_share") <= CLEAN, 0.0)
     labelled = long.withColumn("label", label).filter("label IS NOT NULL")
-    order = [F.xxhash64("id"), *(F.col(f) for f in FEATURES)]
-    part = [labelled.filter(F.col("label") == v).orderBy(*order).limit(sample // 2) for v in (0.0, 1.0)]
-    # the trees see a bounded sample: small enough for one partition, whose order is fixed
+    # a share of the hashes that holds about the sample goes on, so the exact cut sees few rows,
+    # and the trees see one partition whose order is fixed
+    mark = F.xxhash64("id", *FEATURES)
+    order = [mark, *(F.col(f) for f in FEATURES)]
+    counts = dict(labelled.groupBy("label").count().collect())
+    part = []
+    for v in (0.0, 1.0):
+        share = min(1.0, 1.1 * (sample // 2) / max(1, counts.get(v, 0)) + 1e-9)
+        near = F.pmod(mark, F.lit(1 << 40)) <= F.lit(int(share * (1 << 40)))
+        part.append(labelled.filter((F.col("label") == v) & near).orderBy(*order).limit(sample // 2))
     fit = stage(part[0].unionByName(part[1]).coalesce(1), "page-sample")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="v")
     if fit.select("label").distinct().count() == 2:
