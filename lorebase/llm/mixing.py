@@ -194,7 +194,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     all_ = got.agg(F.sum("tokens").alias("all_tokens"))
     zero = {"n_docs": 0, "n_copies": 0, "most_copies": 0, "tokens": 0}
     listed = targets.select("source", "target_share", "max_repeats").filter("source IS NOT NULL")
-    out = listed.join(got, "source", "left").fillna(zero).crossJoin(F.broadcast(all_))  # one row
+    out = listed.join(got, "source", "left").fillna(zero).join(F.broadcast(all_))  # one row
     share = F.when(F.col("all_tokens") > 0, F.col("tokens") / F.col("all_tokens")).otherwise(0.0)
     return out.select(*listed.columns, *zero, share.alias("share"))
 
