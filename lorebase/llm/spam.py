@@ -61,6 +61,12 @@ _ITEMS = re.compile(r"[,;|•·/»、，；]|\s-\s")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _HAN = re.compile("|".join(HAN))
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+#: What code, logs, tables, contents and references have and lists of keywords don't.
+_TECHNICAL = re.compile(r"[\d=(){}\[\]<>_\\\"]|\.{3}|\b\w\.")
+#: Words, or Han characters, in which repetition is looked for at a time, and the least number of them.
+WINDOW, LEAST_WORDS = 60, 10
+#: Items from which a piece is a list, and lines from which a run of short lines is one.
+LEAST_ITEMS = 6
 
 FEATURES = [
     "spam_share", "link_share", "tag_share", "list_share", "repeat_share", "url_share", "links_per_100", "hosts_per_link", "hash_share",
@@ -74,12 +80,63 @@ def _n(s: str) -> int:
     return len("".join(s.split()))
 
 
+def repeats(words: list[str], n: int = 2) -> bool:
+    """Whether most windows of WINDOW words are phrases of n words that come three times or more.
+
+    A window is, if such phrases hold at least 0.3 of its words. Prose of any language has few
+    of them in so short a stretch, so no list of words is needed."""
+    k = len(words)
+    if k < LEAST_WORDS:
+        return False
+    parts = -(-k // WINDOW)
+    hits = 0
+    for i in range(parts):
+        ws = words[i * k // parts : (i + 1) * k // parts]
+        if len(set(ws)) > 0.8 * len(ws):
+            continue
+        grams = list(zip(*(ws[j:] for j in range(n)), strict=False))
+        counts = Counter(grams)
+        covered = [False] * len(ws)
+        for at, g in enumerate(grams):
+            if counts[g] >= 3:
+                covered[at : at + n] = [True] * n
+        hits += sum(covered) >= 0.3 * len(ws)
+    return 2 * hits > parts
+
+
+def keyword_items(items: list[str]) -> bool:
+    """Whether items are keywords: nearly all short, and built around words that come back.
+
+    A word counts for the items that hold it; a list of names or places has no such word."""
+    held = [_WORD.findall(p) for p in items]
+    if len(held) < LEAST_ITEMS or sum(0 < len(ws) <= 6 for ws in held) < 0.8 * len(held):
+        return False
+    counts = Counter(w for ws in held for w in set(ws) if w not in FUNCTION)
+    again = {w for w, c in counts.items() if c >= 3}
+    return sum(not again.isdisjoint(ws) for ws in held) >= 0.5 * len(held)
+
+
+def plain(s: str) -> bool:
+    """Whether there is little in a piece that code, logs, tables and references have."""
+    return len(_TECHNICAL.findall(s)) <= 0.06 * _n(s)
+
+
+def run_size(run: list[tuple[int, list[str], str]]) -> int:
+    """Characters of a run of short lines (characters, words, line) if they are keywords, or 0."""
+    if len(run) < LEAST_ITEMS or not plain("\n".join(line for _, _, line in run)):
+        return 0
+    found = repeats([w for _, ws, _ in run for w in ws]) or keyword_items([line for _, _, line in run])
+    return sum(n for n, _, _ in run) if found else 0
+
+
 def features(text: str) -> list[float]:
     """Content and link features of a whole text, in the order of FEATURES.
 
     The text is cut into lines and sentences. A piece counts as links, tags, list of keywords or
     repetition by what it holds beside its words: addresses, hash signs, product marks, short
     items without the words that hold sentences together, phrases that come again and again.
+    Repetition and lists are found by structure in every piece, of any language, and in runs of
+    short lines; words of advertising only lower what is asked of a piece that has them.
     Whatever a text has none of (addresses, hash signs, phrases, Han characters) is not looked
     for again in its pieces.
     """
@@ -100,6 +157,7 @@ def features(text: str) -> list[float]:
     urls = _URL.findall(lower) if has_links else []
     link = tag = listed = repeat = spam = url_chars = hash_chars = ads_all = func_all = items_all = items_short = ends = 0
     clean = longest = 0
+    run: list[tuple[int, list[str], str]] = []
     for chunk, ws, left in zip(chunks, words, bare, strict=True):
         n = _n(chunk)
         k = len(ws)
@@ -122,8 +180,10 @@ def features(text: str) -> list[float]:
         is_link = links > 0 and mark >= 0.3 * n and 2 * func <= links and k <= 9 * links
         is_tag = hashes >= 0.45 * n
         is_list = is_repeat = False
+        fw = func / k if k else 0.0
+        ended = chunk.rstrip()[-1:] in ".!?。！？:"
+        pieces: list[str] = []
         if ad:
-            fw = func / k if k else 0.0
             # Han text without spaces is measured in characters
             near = ad_size / max(1, _n(left)) if han > 4 * k else ad / max(1, k)
             is_tag = is_tag or (has_product and fw <= 0.1 and _PRODUCT.search(chunk) is not None)
@@ -134,6 +194,22 @@ def features(text: str) -> list[float]:
                 is_list = fw <= 0.1 and (near >= 0.2 or (len(pieces) >= 3 and short >= 0.8 * len(pieces)))
                 if near >= 0.12 and k >= 10:
                     is_repeat = len(set(ws)) <= 0.72 * k
+        if not (is_link or is_tag or is_list or is_repeat):
+            if has_product and fw <= 0.1 and (marks := set(_PRODUCT.findall(chunk))):
+                # a book's number alone is a reference
+                is_tag = len(marks) > 1 or (marks != {"isbn"} and _ITEMS.search(left) is not None and not ended)
+            if han > 4 * k:
+                is_repeat = not is_tag and repeats(_CJK.findall(left), 3) and plain(left)
+            elif not is_tag and k >= LEAST_WORDS:
+                is_repeat = repeats(ws) and plain(left)
+            if not (is_tag or is_repeat or ended) and fw <= 0.1 and k >= LEAST_ITEMS and plain(left):
+                pieces = pieces or [p for p in _ITEMS.split(left) if p and not p.isspace()]
+                is_list = keyword_items(pieces)
+        if 0 < k <= 8 and not (ended or is_link or is_tag or is_list or is_repeat) and fw <= 0.1:
+            run.append((n, ws, left))
+        elif run:
+            more = run_size(run)
+            listed, spam, clean, run = listed + more, spam + more, max(0, clean - more), []
         link, tag, listed, repeat = link + n * is_link, tag + n * is_tag, listed + n * is_list, repeat + n * is_repeat
         if is_link or is_tag or is_list or is_repeat:
             spam += n
@@ -141,7 +217,9 @@ def features(text: str) -> list[float]:
         else:
             clean += n
         url_chars, hash_chars, ads_all, func_all = url_chars + mark, hash_chars + hashes, ads_all + ad, func_all + func
-        ends += chunk.rstrip()[-1:] in ".!?。！？:"
+        ends += ended
+    more = run_size(run)
+    listed, spam, clean = listed + more, spam + more, max(0, clean - more)
     longest = max(longest, clean)
     n_words, n_chunks = max(1, len(flat)), max(1, len(chunks))
     counts = Counter(flat)

@@ -371,3 +371,39 @@ def test_spam_is_the_same_for_any_partitioning(spark):
     df = spark.createDataFrame([(i, (SPAM if i % 2 else HAM)[i % 7] + str(i), "s") for i in range(120)], "doc_id bigint, text string, source string")
     a, b = ({r["doc_id"]: round(r["p_spam"], 9) for r in spam.score_pages(d).collect()} for d in (df.repartition(1), df.repartition(7, "doc_id")))
     assert a == b
+
+
+#: Without a word of the fixed lists: other modifiers, other languages, a keyword a line, Han without spaces.
+STUFFED = [
+    "robot kit Kanitz | robot kit Nenitz | robot kit Denitz, robot kit Drogate robot kit Safield " * 6,
+    "tani dron Kraków, tani dron Gdańsk, tani dron Lublin; tani dron Poznań, tani dron Opole, tani dron Łódź, " * 5,
+    "".join(f"robot aspirapolvere {c}\n" for c in "Roma Milano Torino Napoli Genova Verona Padova Trieste Pisa Lecce".split()) * 2,
+    "kamera termowizyjna, wynajem kamera, kamera drony, kamera nocna, mała kamera, kamera polowa, kamera wodna, ",
+    "If you want data labeling, our data labeling page on data labeling has data labeling for data labeling fans. " * 7,
+    "扫地机器人上海扫地机器人北京扫地机器人广州扫地机器人深圳扫地机器人杭州" * 3,
+    "".join(f"Vase XL | SKU {w}\n Krug M | SKU {w} | blau\n" for w in "abcdefghi"),
+]
+PROSE = [
+    "Il robot osserva la sala, la mappa e il sensore prima di muoversi, e la memoria conserva ciò che il piano ha visto. " * 6,
+    "Anna Nowak, Jan Kowalski, Maria Zielinska, Piotr Lewandowski, Ewa Wojcik, Adam Kaminski, Zofia Mazur, Marek Krawczyk",
+    "".join(f"def run_{i}(map, map_{i}): return map[{i}] + map_{i}\n" for i in range(20)), "".join(f"model {c} | 0.{i} | 0.9{i} | 1.{i}\n" for i, c in enumerate("abcdefgh")),
+    "".join(f"Müller A, Schmidt B, Weber C. Karten und Roboter. Verlag, ISBN 978-3-16-{i}.\n" for i in range(9)),
+]
+
+
+@pytest.mark.parametrize("text", STUFFED)
+def test_stuffed_pages_are_found_by_structure(text):
+    assert spam.features(text)[0] > 0.6
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_names_code_tables_are_not_stuffed(text):
+    assert spam.features(text)[0] < 0.4
+
+
+def test_spam_without_listed_words(spark):
+    rng = random.Random(9)
+    rows = [(i, (rng.choice(SPAM) if i % 5 == 0 else rng.choice(HAM + PROSE))[rng.randint(0, 3) :], "open") for i in range(400)]
+    rows += [(1000 + i, t, "open") for i, t in enumerate(STUFFED)]
+    found = {r["doc_id"] for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert found == {i for i in range(0, 400, 5)} | {1000 + i for i in range(len(STUFFED))}
