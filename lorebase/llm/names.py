@@ -94,7 +94,9 @@ def known_given(w: str) -> frozenset[str]:
 
 
 @lru_cache(maxsize=200_000)
-def parse(raw: str) -> Name:
+def readings(raw: str) -> tuple[Name, ...]:
+    """The name taken apart, and once more with the family name at the other end where neither a
+    comma nor the table of given names tells at which it is."""
     text = fold(unicodedata.normalize("NFC", raw))
     alias = ""
     if m := re.search(r"[\"“”„]([^\"“”„]+)[\"“”„]", text):
@@ -124,7 +126,7 @@ def parse(raw: str) -> Name:
     lower = [w.lower() for w in one + two if w.lower() not in TITLES]
     if any(w in GROUP_WORDS or (len(w) >= 8 and any(edits(g, w, 1) <= 1 for g in GROUP_WORDS if len(g) >= 8)) for w in lower) and len(lower) >= 2:
         kept = tuple(sorted(w for w in lower if w not in ("the", "of", "and", "for", "on", "behalf")))
-        return Name(True, "", "", "", "", "", kept)
+        return (Name(True, "", "", "", "", "", kept),)
     one = [w for w in one if w.lower() not in TITLES]
     two = [w for w in two if w.lower() not in TITLES]
 
@@ -140,12 +142,13 @@ def parse(raw: str) -> Name:
     particle = " ".join(w for w in one + two if w in PARTICLES and len(w) > 1)
     one = [w for w in one if w not in PARTICLES]
     two = [w for w in two if w not in PARTICLES]
+    turned: tuple[list[str], list[str]] | None = None
     if comma and one and two:
         family, rest = one, two
     else:
         ws = one + two
         if len(ws) < 2:
-            return Name(False, "".join(ws), "", "", particle, alias)
+            return (Name(False, "".join(ws), "", "", particle, alias),)
         long = [w for w in ws if len(w) > 1]
         first_known, last_known = bool(known_given(ws[0])), bool(known_given(ws[-1]))
         if len(long) >= 2 and last_known and not first_known and len(ws[0]) > 1:
@@ -157,11 +160,19 @@ def parse(raw: str) -> Name:
             family, rest = ([long[0]], [long[1], ws[-1]]) if not known_given(long[0]) else ([long[-1]], [long[0], ws[-1]])
         else:
             family, rest = [ws[-1]], ws[:-1]
-    given = rest[0]
-    others = rest[1:]
-    if others and len(given) > 1 and (given + others[0]) in _GIVENS:
-        given, others = given + others[0], others[1:]
-    return Name(False, "".join(family), given, others[0][0] if others else "", particle, alias)
+        if len(ws[0]) > 1 and len(long) >= 2 and not any(map(known_given, long)):
+            if family == [ws[0]]:
+                turned = [rest[0]], [ws[0], *rest[1:]]
+            else:
+                turned = [ws[0]], (ws[1:] if len(ws[1]) > 1 else [ws[-1], *ws[1:-1]])
+
+    def name(family: list[str], rest: list[str]) -> Name:
+        given, others = rest[0], rest[1:]
+        if others and len(given) > 1 and (given + others[0]) in _GIVENS:
+            given, others = given + others[0], others[1:]
+        return Name(False, "".join(family), given, others[0][0] if others else "", particle, alias)
+
+    return (name(family, rest), name(*turned)) if turned else (name(family, rest),)
 
 
 _CODES = {**dict.fromkeys("bp", "1"), **dict.fromkeys("fvw", "2"), **dict.fromkeys("ckgqx", "3"), **dict.fromkeys("szj", "4"), **dict.fromkeys("dt", "5"), "l": "6", "r": "7", **dict.fromkeys("mn", "8")}
@@ -253,7 +264,16 @@ def same_given(a: Name, b: Name) -> int:
 
 def same_name(x: str, y: str) -> bool:
     """Whether two spellings can name the same person or group, by themselves."""
-    a, b = parse(x), parse(y)
+    return fitting(x, y) is not None
+
+
+def fitting(x: str, y: str) -> tuple[int, int] | None:
+    """The first readings of two spellings in which they can name the same person or group."""
+    xs, ys = readings(x), readings(y)
+    return next(((i, j) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)) if i < len(xs) and j < len(ys) and _same(xs[i], ys[j])), None)
+
+
+def _same(a: Name, b: Name) -> bool:
     if a.group or b.group:
         return a.group and b.group and _same_words(a.words, b.words)
     family = slip(a.surname, b.surname)
@@ -281,9 +301,8 @@ def _same_words(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     return total <= 2
 
 
-def signature(raw: str) -> tuple[str, str]:
+def signature(n: Name) -> tuple[str, str]:
     """(given name in its usual form or '' for an initial, middle initial or '')."""
-    n = parse(raw)
     if n.group:
         return " ".join(n.words), ""
     if not n.full:
@@ -302,6 +321,7 @@ def link_variants(names: DataFrame, name: str = "name") -> DataFrame:
     connected components. A spelling that leaves something out, a middle initial or all of the
     given name but its initial, is linked only if what it is linked to agrees: with two different
     middle initials, or given names, to choose from, none is chosen, so it can't join two people.
+    A spelling that can be read with the family name at either end is compared in both readings.
     Blocks of any size are paired in parts; the agreement is an aggregate per spelling.
 
     Nulls are left out; blank spellings and spellings without letters stand alone. Repeated rows
@@ -311,50 +331,82 @@ def link_variants(names: DataFrame, name: str = "name") -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(v, blocks(n), *signature(v), n.full or n.group) for v in b.column(0).to_pylist() for n in (parse(v),)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "keys", "given", "middle", "full"])
+            ids = b.column(0).to_pylist()
+            keys = [list(dict.fromkeys(k for n in readings(v) for k in blocks(n))) for v in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.list_(pa.string()))], names=["id", "keys"])
 
-    parsed = stage(raw.mapInArrow(split, "id string, keys array<string>, given string, middle string, full boolean"), "names")
+    parsed = stage(raw.mapInArrow(split, "id string, keys array<string>"), "names")
     pairs = bucket_pairs(crowded_members(parsed.select(F.explode("keys").alias("key"), "id")), [])
 
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32()]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [same_name(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    links = stage(pairs.mapInArrow(compare, "id_a string, id_b string"), "name-links")
-    kept = agreeing(links, parsed)
+            rows = []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at := fitting(x, y):
+                    rows.append((x, y, *side(x, at[0]), *side(y, at[1])))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 12
+            arrays = [pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.string(), *kinds, *kinds], strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id_a", "id_b", *(f"{c}_{e}" for e in "ab" for c in SIDE)])
+
+    of = ", ".join(f"given_{e} string, middle_{e} string, full_{e} boolean, open_{e} boolean, turn_{e} int" for e in "ab")
+    links = stage(pairs.mapInArrow(compare, f"id_a string, id_b string, {of}"), "name-links")
+    kept = agreeing(links)
     groups = connected_components(kept, "u", "v")
     return raw.join(groups, raw.id == groups.node, "left").select(F.col("id").alias(name), F.coalesce("component", "id").alias("entity"))
 
 
-def agreeing(links: DataFrame, parsed: DataFrame) -> DataFrame:
+#: What a link says about each of its ends: see ``side``.
+SIDE = ["given", "middle", "full", "open", "turn"]
+
+
+def side(raw: str, at: int) -> tuple[str, str, bool, bool, int]:
+    """(given, middle, whether the given name is in full, whether there are two readings, reading)."""
+    names = readings(raw)
+    n = names[at]
+    return *signature(n), n.full or n.group, len(names) > 1, at
+
+
+def agreeing(links: DataFrame) -> DataFrame:
     """(u, v): the links that neither end has a choice about."""
-    of = parsed.select("id", "given", "middle", "full")
-    both = links.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    mine = of.select(F.col("id").alias("u"), F.col("middle").alias("um"), F.col("full").alias("uf"))
-    theirs = of.select(F.col("id").alias("v"), F.col("given").alias("vg"), F.col("middle").alias("vm"), F.col("full").alias("vf"))
-    e = both.join(mine, "u").join(theirs, "v")
-    # a link of equal middles counts before one where a side has none
+
+    def ends(x: str, y: str) -> DataFrame:
+        mine = [F.col(f"{c}_{x}").alias("u" + c[0]) for c in SIDE]
+        theirs = [F.col(f"{c}_{y}").alias("v" + c[0]) for c in SIDE]
+        return links.select(F.col(f"id_{x}").alias("u"), F.col(f"id_{y}").alias("v"), *mine, *theirs)
+
+    e = ends("a", "b").unionByName(ends("b", "a"))
+    # a link of equal middles counts before one where a side has none, a usual reading before a turned one
     sure = F.col("um") == F.col("vm")
     given = F.when(F.col("vf"), F.col("vg"))
+    middle = F.when(F.col("vm") != "", F.col("vm"))
+    usual = F.col("vt") == 0
+    told = F.col("uo") & ~F.col("vo")
     choice = e.groupBy("u").agg(
-        F.min(F.when(F.col("vm") != "", F.col("vm"))).alias("m0"),
-        F.max(F.when(F.col("vm") != "", F.col("vm"))).alias("m1"),
-        F.min(F.when(sure, given)).alias("s0"),
-        F.max(F.when(sure, given)).alias("s1"),
-        F.min(given).alias("g0"),
-        F.max(given).alias("g1"),
+        F.min(F.when(usual, middle)).alias("m0"),
+        F.max(F.when(usual, middle)).alias("m1"),
+        F.min(middle).alias("n0"),
+        F.max(middle).alias("n1"),
+        F.min(F.when(sure & usual, given)).alias("s0"),
+        F.max(F.when(sure & usual, given)).alias("s1"),
+        F.min(F.when(usual, given)).alias("g0"),
+        F.max(F.when(usual, given)).alias("g1"),
+        F.min(given).alias("h0"),
+        F.max(given).alias("h1"),
+        F.max(told & (F.col("ut") == 0)).alias("told0"),
+        F.max(told & (F.col("ut") == 1)).alias("told1"),
+        F.max(F.col("uo") & F.col("vo") & (F.col("ut") != F.col("vt"))).alias("both"),
     )
     at = e.join(choice, "u")
-    middle_open = (F.col("um") == "") & (F.col("vm") != "") & (F.col("m0") != F.col("m1"))
-    low = F.coalesce("s0", "g0")
-    high = F.when(F.col("s0").isNotNull(), F.col("s1")).otherwise(F.col("g1"))
+    m0, m1 = F.coalesce("m0", "n0"), F.coalesce("m1", "n1")
+    middle_open = (F.col("um") == "") & (F.col("vm") != "") & ((m0 != m1) | (F.col("vm") != m0))
+    low = F.coalesce("s0", "g0", "h0")
+    high = F.when(F.col("s0").isNotNull(), F.col("s1")).otherwise(F.coalesce("g1", "h1"))
     given_open = ~F.col("uf") & F.col("vf") & ((low != high) | (F.col("vg") != low))
-    blocked = F.coalesce(middle_open, F.lit(False)) | F.coalesce(given_open, F.lit(False))
+    # a spelling that others read from both ends is read the usual way, or with its turned twin, not at all
+    order_open = told & F.col("told0") & F.col("told1") & (F.col("both") | (F.col("ut") == 1))
+    blocked = F.coalesce(middle_open, F.lit(False)) | F.coalesce(given_open, F.lit(False)) | F.coalesce(order_open, F.lit(False))
     way = at.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), blocked.cast("int").alias("no"))
     return way.groupBy("u", "v").agg(F.max("no").alias("no")).filter("no = 0").select("u", "v")
 

@@ -407,3 +407,20 @@ def test_spam_without_listed_words(spark):
     rows += [(1000 + i, t, "open") for i, t in enumerate(STUFFED)]
     found = {r["doc_id"] for r in spam.spam_pages(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert found == {i for i in range(0, 400, 5)} | {1000 + i for i in range(len(STUFFED))}
+
+
+def entities(spark, rows):
+    return {r["name"]: r["entity"] for r in names.link_variants(spark.createDataFrame([(x,) for x in rows], "name string")).collect()}
+
+
+def test_both_orders_of_unlisted_given_names(spark):
+    got = entities(spark, ["Bartosz Wieczorek", "Wieczorek Bartosz", "Wieczorek, Bartosz", "B. Wieczorek", "Wieczorek Bartossz", "Lenka K. Horakova", "Horakova Lenka K.", "Lenka Svobodova", "Anneke Ruth Dijkstra", "Dijkstra Anneke Ruth"])
+    assert len({got[n] for n in got if "zorek" in n}) == 1 and len({got[n] for n in got if "kova" in n}) == 1
+    assert got["Anneke Ruth Dijkstra"] == got["Dijkstra Anneke Ruth"] and got["Lenka Svobodova"] == "Lenka Svobodova"
+
+
+def test_an_open_order_is_not_chosen(spark):
+    got = entities(spark, ["Bartosz Wieczorek", "B. Wieczorek", "W. Bartosz", "Wieczorek Bartosz"])
+    assert got["Wieczorek Bartosz"] == got["Bartosz Wieczorek"] and got["B. Wieczorek"] == "B. Wieczorek" and got["W. Bartosz"] == "W. Bartosz"
+    got = entities(spark, ["Bartosz Wieczorek", "B. Wieczorek", "W. Bartosz", "Witold Bartosz"])
+    assert got["Bartosz Wieczorek"] == got["B. Wieczorek"] and got["Witold Bartosz"] == got["W. Bartosz"] and len(set(got.values())) == 2
