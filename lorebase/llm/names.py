@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -190,18 +191,36 @@ def phonetic(w: str) -> str:
     return "".join(out) or w[:1]
 
 
+def left_out(w: str) -> list[str]:
+    """A word or code, and what is left of it without each of its signs."""
+    return list(dict.fromkeys([w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]))
+
+
+def sounds(code: str) -> list[str]:
+    """A code with one sound left out each; sounds that then meet and are alike also as one."""
+    if len(code) <= 2:
+        return [code]
+    less = left_out(code)
+    return list(dict.fromkeys([*less, *("".join(c for c, _ in groupby(v)) for v in less[1:])]))
+
+
 def blocks(n: Name) -> list[str]:
     """Block keys: phonetic codes of the sorted words, of a person the family name's with one
-    sound left out each, so that one slip leaves a common key, and the given name's initials."""
+    sound left out each, so that one slip leaves a common key, and the given name's initials.
+    Where a code has two sounds at most, one sound says too little: there the letters, with one
+    left out each, are the keys for one slip."""
     if n.group:
-        codes = sorted(phonetic(w) for w in n.words if w not in GROUP_WORDS)
-        return ["g:" + c for c in dict.fromkeys(codes)]
+        words = dict.fromkeys(w for w in n.words if w not in GROUP_WORDS)
+        codes = sorted(dict.fromkeys(v for w in words for v in sounds(phonetic(w))))
+        return ["g:" + c for c in codes] + ["gw:" + v for w in words if len(phonetic(w)) <= 2 for v in left_out(w)]
     code = phonetic(n.surname)
-    variants = dict.fromkeys([code, *(code[:i] + code[i + 1 :] for i in range(len(code)))] if len(code) > 2 else [code])
+    variants = sounds(code)
     heads = dict.fromkeys([n.given[:1], *sorted(g[:1] for g in known_given(n.given)), n.alias[:1]] if n.full else [n.given[:1]])
     out = [f"p:{v}:{len(v) - len(code)}:{h}" for v in variants for h in heads if h or not n.given]
     out += [f"p:{v}:{d}:{h}" for v in variants if len(v) < len(code) for d in (0,) for h in heads if h]
     out += [f"p:{code}:-1:{h}" for h in heads if h]
+    if len(code) <= 2:
+        out += [f"w:{v}:{h}" for v in left_out(n.surname) for h in heads if h]
     if n.full and len(n.given) >= 3:
         out.append(f"s:{n.surname}:{phonetic(n.given[1:])}")
     return list(dict.fromkeys(out))

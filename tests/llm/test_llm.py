@@ -424,3 +424,27 @@ def test_an_open_order_is_not_chosen(spark):
     assert got["Wieczorek Bartosz"] == got["Bartosz Wieczorek"] and got["B. Wieczorek"] == "B. Wieczorek" and got["W. Bartosz"] == "W. Bartosz"
     got = entities(spark, ["Bartosz Wieczorek", "B. Wieczorek", "W. Bartosz", "Witold Bartosz"])
     assert got["Bartosz Wieczorek"] == got["B. Wieczorek"] and got["Witold Bartosz"] == got["W. Bartosz"] and len(set(got.values())) == 2
+
+
+@pytest.mark.parametrize("a, b", [("raiulu", "raiuku"), ("daieda", "daiea"), ("hainulu", "hainuu"), ("moore", "mooe"), ("aiuda", "aiuka"), ("moore", "moroe")])
+def test_one_slip_in_a_short_family_name_leaves_a_common_key(a, b):
+    x, y = (f"Omar {w.title()}" for w in (a, b))
+    assert names.same_name(x, y) and not set(names.blocks(names.readings(x)[0])).isdisjoint(names.blocks(names.readings(y)[0]))
+
+
+def test_one_slip_in_any_letter_leaves_a_common_key():
+    rng = random.Random(2)
+    for _ in range(4000):
+        w = "".join(rng.choice("aeioulrkdmnst") for _ in range(rng.randint(4, 8)))
+        at, c = rng.randrange(len(w)), rng.choice("aeioulrkdmnst")
+        v = rng.choice([w[:at] + w[at + 1 :], w[:at] + c + w[at + 1 :], w[:at] + c + w[at:]])
+        for x, y in ((f"Omar {w.title()}", f"Omar {v.title()}"), (f"{w.title()} Institute", f"{v.title()} Institute")):
+            one, two = names.readings(x)[0], names.readings(y)[0]
+            if names.same_name(x, y):
+                assert not set(names.blocks(one)).isdisjoint(names.blocks(two)), (x, y)
+
+
+def test_one_slip_in_a_group_or_a_short_name(spark):
+    got = entities(spark, ["Bruseth Institute", "Bruteth Institute", "Brusth Institute", "Daie Institute", "Daike Institute", "Omar Moore", "Omar Mooe", "Omar Railu"])
+    assert got["Bruteth Institute"] == got["Bruseth Institute"] == got["Brusth Institute"] != got["Daie Institute"]
+    assert got["Omar Moore"] == got["Omar Mooe"] != got["Omar Railu"]
