@@ -115,7 +115,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         changed.append("deep_readings")
         tables, e = pipeline.analyse_stage(tables, ask, as_of, settings, run=int(now.timestamp()))
         errors.append(e)
-        changed += ["contribution_deltas", "leaderboard", "sota_updates"]
+        changed += ["contribution_deltas", "leaderboard", "sota_updates", "kb"]
     failed = 0
     for e in errors:
         for arxiv_id, error in e.limit(1000).toLocalIterator():

@@ -45,6 +45,13 @@ def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(fresh.select("collection", "id"), ["collection", "id"], "left_anti").unionByName(fresh)
 
 
+def upsert_documents(old: DataFrame, documents: DataFrame) -> DataFrame:
+    """upsert_vectors for documents that have no vector yet: a document that is stored unchanged
+    keeps its vector, a new or changed one has none until it is embedded."""
+    known = old.groupBy("collection", "id", "document").agg(F.max("embedding").alias("embedding"))
+    return upsert_vectors(old, documents.join(known, ["collection", "id", "document"], "left").select(*old.columns))
+
+
 def log_updates(updates: DataFrame, run: int | None = None) -> DataFrame:
     """Audit rows to append; with a run, one row per (paper, benchmark, summary, run)."""
     if run is None:

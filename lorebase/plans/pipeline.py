@@ -123,10 +123,13 @@ def analyse_stage(tables: Tables, analyst: Provider, as_of: Column, settings: Se
     ids = (F.col("_top") + 1 + F.monotonically_increasing_id()).alias("id")
     logged = audit.join(F.broadcast(first)).select(ids, "arxiv_id", "benchmark", "action", "summary", "created_at")  # one row
     board = leaderboard.latest_rows(all_rows).select(*old.columns)
+    documents = knowledge.documents_of(fresh, tables["papers"])
+    stored = {"kb": upsert.upsert_documents(tables["kb"], documents)} if "kb" in tables else {}
     return {
         **tables,
+        **stored,
         "contribution_deltas": upsert.upsert_rows(tables["contribution_deltas"], deltas),
         "leaderboard": board,
         "sota_updates": tables["sota_updates"].unionByName(logged),
-        "kb_documents": knowledge.documents_of(fresh, tables["papers"]),
+        "kb_documents": documents,
     }, replies.filter("error IS NOT NULL").select("arxiv_id", "error")

@@ -236,3 +236,20 @@ def test_core_imports_nothing_for_training_data():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "lorebase.llm" not in p.read_text(), p
+
+
+def test_the_pipeline_saves_the_knowledge_documents(spark, tmp_path):
+    data = tmp_path / "data"
+    data.mkdir()
+    spark.createDataFrame([("a", "A", None, [], None, None, [], None, datetime(2024, 1, 1))], schema("papers")).write.parquet(str(data / "papers.parquet"))
+    spark.createDataFrame([("a", "p", "m", ["c"], "s", "r", "l", "w", None, datetime(2024, 1, 2))], schema("deep_readings")).write.parquet(str(data / "deep_readings.parquet"))
+    old = [("paper_methods", "a", [1.0], "Paper: A\nMethod: m", ("a", "A")), ("research_context", "a", [2.0], "Paper: A\nContext: before", ("a", "A")), ("paper_methods", "z", [3.0], "d", ("z", "Z"))]
+    spark.createDataFrame(old, schema("kb")).write.parquet(str(data / "kb.parquet"))
+    (tmp_path / "c.yaml").write_text(f"sota_dir: {tmp_path}/boards\n")
+    for _ in range(2):
+        assert cli.main(["-c", str(tmp_path / "c.yaml"), "-d", str(data), "--as-of", "2024-01-31T00:00:00", "pipeline"], spark) == 0
+        got = {(r["collection"], r["id"]): (r["document"], r["embedding"]) for r in spark.read.parquet(str(data / "kb.parquet")).collect()}
+        assert got == {
+            ("paper_contributions", "a"): ("Paper: A\nContributions:\n- c", None), ("paper_methods", "a"): ("Paper: A\nMethod: m", [1.0]),
+            ("research_context", "a"): ("Paper: A\nContext: w", None), ("paper_methods", "z"): ("d", [3.0]),
+        }
