@@ -239,6 +239,8 @@ _LATEST = "latest AS (SELECT * FROM board WHERE value IS NOT NULL QUALIFY row_nu
 
 
 def latest_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Each paper's latest reading. Readings without a created_at are left out, as in the SQL
+    (``_READINGS``): a paper that has no other is lost to all queries that start here."""
     rows = load(spark, d, "deep_readings").filter("created_at IS NOT NULL")
     return gates.first_of_each(rows, ["arxiv_id"], [F.col("created_at").desc(), F.col("problem_statement")])
 
