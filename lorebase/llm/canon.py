@@ -201,9 +201,7 @@ class Matcher:
 
     def by_words(self, ws: tuple[str, ...]) -> dict[int, float]:
         """Entries all of whose words are read from different typed words, in any order."""
-        if not ws or len(ws) > 24:
-            return {}
-        read = [self.costs(w) for w in ws]
+        read = [r for w in ws if (r := self.costs(w))]
         counts: dict[int, int] = defaultdict(int)
         for w in {w for r in read for w in r}:
             for canon_id in self.by_word[w]:
@@ -211,26 +209,33 @@ class Matcher:
         out = {}
         for canon_id, n in counts.items():
             need = self.tokens[canon_id]
-            if n < len(set(need)):
+            extra = len(ws) - len(need)
+            if n < len(set(need)) or extra > max(3, len(need)):
                 continue
             total = self.assign(need, read)
-            if total is None:
-                continue
-            extra = len(ws) - len(need)
-            if total <= self.MOST_PER_WORD * len(need) and extra <= max(3, len(need)):
+            if total is not None and total <= self.MOST_PER_WORD * len(need):
                 out[canon_id] = total + 0.05 * max(0, extra)
         return out
 
     @staticmethod
     def assign(need: list[str], read: list[dict[str, float]]) -> float | None:
-        """The cheapest way to give each needed word its own typed word."""
-        best: dict[int, float] = {0: 0.0}  # set of used typed words -> cost
+        """The cheapest way to give each needed word its own typed word.
+
+        Only typed words that can be read as a needed one count; a word typed several times is
+        one with so many uses, so repeats don't multiply the sets."""
+        uses: dict[int, list[Any]] = {}
+        for r in read:
+            if not r.keys().isdisjoint(need):
+                uses.setdefault(id(r), [r, 0])[1] += 1
+        width = len(read).bit_length()
+        typed = [(r, most, i * width) for i, (r, most) in enumerate(uses.values())]
+        best: dict[int, float] = {0: 0.0}  # uses of each typed word, in bits -> cost
         for w in need:
             step: dict[int, float] = {}
             for used, cost in best.items():
-                for i, r in enumerate(read):
-                    if not used >> i & 1 and w in r:
-                        k = used | 1 << i
+                for r, most, at in typed:
+                    if w in r and (used >> at & (1 << width) - 1) < most:
+                        k = used + (1 << at)
                         if cost + r[w] < step.get(k, 99.0):
                             step[k] = cost + r[w]
             best = step

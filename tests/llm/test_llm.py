@@ -448,3 +448,23 @@ def test_one_slip_in_a_group_or_a_short_name(spark):
     got = entities(spark, ["Bruseth Institute", "Bruteth Institute", "Brusth Institute", "Daie Institute", "Daike Institute", "Omar Moore", "Omar Mooe", "Omar Railu"])
     assert got["Bruteth Institute"] == got["Bruseth Institute"] == got["Brusth Institute"] != got["Daie Institute"]
     assert got["Omar Moore"] == got["Omar Mooe"] != got["Omar Railu"]
+
+
+def test_long_values_are_read_by_words():
+    name = "unified benchmark suite covering robotic mapping navigation planning grasping perception memory dialogue transfer robustness"
+    found = canon.Matcher([(1, name, None), (2, " ".join(["granary"] * 13), None)])
+    ws = name.replace("navigation", "navigaton").replace("perception", "percepton").split()
+    filler = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11 q12".split()
+    value = " ".join(w for pair in itertools.zip_longest(reversed(ws), filler) for w in pair if w)
+    assert len(value.split()) > 24 and found.match(value)[0] == 1
+    assert found.match(" ".join(["granaryy"] * 26))[0] == 2
+
+
+def test_assign_is_the_cheapest():
+    rng = random.Random(8)
+    for _ in range(300):
+        need = [rng.choice("abc") for _ in range(rng.randint(1, 4))]
+        typed = [{w: rng.randint(0, 8) / 8 for w in "abcd" if rng.random() < 0.6} for _ in range(3)]
+        read = [rng.choice(typed) for _ in range(rng.randint(1, 5))]
+        costs = [sum(read[i][w] for i, w in zip(p, need)) for p in itertools.permutations(range(len(read)), len(need)) if all(w in read[i] for i, w in zip(p, need))]
+        assert canon.Matcher.assign(need, read) == min(costs, default=None)
