@@ -49,6 +49,20 @@ def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    if a == b:
+        return 0
+    # what both begin and end with costs nothing, and one edit shows in what is left
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if len(a) <= 1 and len(b) <= 1 or len(a) == len(b) == 2 and a == b[::-1]:
+        return min(1, most + 1)
+    if most <= 1:
+        return most + 1
     two: list[int] = []
     one = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -4,48 +4,51 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
-from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.buckets import bucket_pairs, crowded_members
+from lorebase.llm.buckets import bucket_pairs, crowded_members, role_pairs
 from lorebase.llm.canon import edits
 from lorebase.operators.components import connected_components
 from lorebase.session import stage
 
-#: Given names and their short forms. Fixed values.
+#: Given names and short forms in general use, in several languages. No order of words and no
+#: block rests on it; a name without short forms has no place here. Fixed values.
 NICKNAMES = {
-    "alexander": "alex al sandy sasha xander lex", "amara": "mara", "anastasia": "ana nastya stasya tasia anna",
-    "andre": "dre", "anna-lena": "anna lena", "augustin": "gus august", "bartholomew": "bart barry", "benjamin": "ben benny benji",
-    "bjarke": "", "charlotte": "lottie charlie lotte char", "chidinma": "chidi chichi dinma", "christopher": "chris kit topher",
-    "concepcion": "concha conchita", "dalia": "dal", "dimitrios": "dimitri jimmy dimi mitsos", "ekaterina": "katya kate katia",
-    "elizabeth": "liz beth lizzie eliza betty lisa libby betsy", "emmanuel": "manny manu emma", "esteban": "steve este",
-    "farid": "", "francisco": "paco pancho fran cisco frank", "frederick": "fred freddy fritz rick freddie", "gabriella": "gabby ella gabi gaby bella",
-    "giuseppe": "beppe peppe pino", "guadalupe": "lupe lupita", "haruto": "haru", "hedda": "", "ignacio": "nacho iggy",
-    "ingrid": "inga", "isabella": "bella izzy isa belle", "jean-luc": "jean luc", "jennifer": "jen jenny jenn", "ji-woo": "",
-    "johannes": "hans jo johan hannes", "josephine": "jo josie fina jojo", "jurgen": "jorg", "karl-heinz": "karl kalle heinz charly",
-    "katherine": "kate kathy katie kat kitty kathie", "kwame": "", "leila": "", "leonardo": "leo nardo", "lucja": "lucia",
-    "margaret": "maggie meg peggy greta marge daisy", "marie-helene": "marie helene", "matthias": "matt matze", "michael": "mike mick mikey misha",
-    "min-seo": "", "mohammad": "mo moh hammad", "naledi": "", "nikolaos": "nick nikos niko nico klaus", "nuria": "",
-    "oluwaseun": "seun olu", "omar": "", "pavel": "pasha pavlik", "penelope": "penny nell poppy", "priyanka": "pri priya", "quentin": "quinn",
-    "ravindra": "ravi", "robert": "bob rob bobby robbie bert", "rosalind": "rosa roz rose lindy", "sebastian": "seb basti bastian",
-    "soren": "", "tariq": "", "thanh": "", "theodora": "dora theo thea", "tomas": "tom tomek", "ursula": "uschi ulla", "victoria": "vicky tori vic vicki",
-    "viggo": "", "vladimir": "vova vlad volodya", "wilhelmina": "willa mina billie minnie wilma", "william": "bill will liam billy willy",
-    "xiaoming": "", "yevgenia": "zhenya genya eugenia", "yusuf": "", "zacharias": "zach zack zac", "zoe": "",
-    "anthony": "tony", "charles": "charlie chuck", "daniel": "dan danny", "david": "dave", "edward": "ed eddie ted", "james": "jim jimmy",
-    "john": "jack johnny", "joseph": "joe", "patricia": "pat patty trish", "richard": "rick dick rich", "samuel": "sam", "stephen": "steve",
-    "susan": "sue", "thomas": "tom tommy", "deborah": "deb debbie", "catherine": "cathy kate", "lawrence": "larry", "nicholas": "nick",
+    "abigail": "abby gail", "albert": "al bert albie", "alexander": "alex al sandy sasha xander lex alec", "alexandra": "alex sandra sasha lexi",
+    "alfred": "alf alfie fred", "amara": "mara", "anastasia": "ana nastya stasya tasia", "andre": "dre", "andrew": "andy drew", "anthony": "tony ant",
+    "antonio": "toni tonio", "arthur": "art artie", "augustin": "gus august", "barbara": "barb babs", "bartholomew": "bart barry", "benjamin": "ben benny benji",
+    "bernard": "bernie", "caroline": "carrie caro lina", "catherine": "cathy cat kate katie", "charles": "charlie chuck chas", "charlotte": "charlie lottie lotte char",
+    "chidinma": "chidi chichi dinma", "christina": "chris tina chrissy", "christopher": "chris kit topher kris", "concepcion": "concha conchita", "cynthia": "cindy",
+    "dalia": "dal", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "dimitrios": "dimitri jimmy dimi mitsos", "donald": "don donnie",
+    "dorothy": "dot dottie dolly", "douglas": "doug", "edward": "ed eddie ted ned", "edwin": "ed", "ekaterina": "katya kate katia", "eleanor": "ellie nell nora",
+    "elizabeth": "liz beth lizzie eliza betty lisa libby betsy bess", "emily": "em emmy", "emmanuel": "manny manu emma", "enrique": "kike", "esteban": "steve este",
+    "eugene": "gene", "federico": "fede", "fernando": "nando", "florence": "flo flossie", "frances": "fran frankie fanny", "francis": "frank", "francisco": "paco pancho fran cisco frank kiko",
+    "frederick": "fred freddy freddie fritz rick", "gabriel": "gabe", "gabriella": "gabby ella gabi gaby bella", "geoffrey": "geoff jeff", "gerald": "gerry jerry", "giovanni": "gianni nino",
+    "giuseppe": "beppe peppe pino", "gregory": "greg", "guadalupe": "lupe lupita", "guillermo": "memo guille", "harold": "harry hal", "haruto": "haru", "henry": "harry hank hal", "herbert": "herb bert",
+    "ignacio": "nacho iggy", "ingrid": "inga", "isabella": "bella izzy isa belle", "ivan": "vanya", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny jenn",
+    "jeremy": "jerry", "jessica": "jess jessie", "jesus": "chuy", "johannes": "hans jo johan hannes", "john": "jack johnny jon", "jonathan": "jon jonny", "jose": "pepe", "joseph": "joe joey",
+    "josephine": "jo josie fina jojo", "joshua": "josh", "judith": "judy", "jurgen": "jorg", "katherine": "kate kathy katie kat kitty kathie kay", "kenneth": "ken kenny", "lawrence": "larry",
+    "leonard": "leo len lenny", "leonardo": "leo nardo", "louise": "lou lulu", "lucas": "luke", "lucia": "lucja lucy", "luis": "lucho", "madeleine": "maddie", "manuel": "manolo manny",
+    "margaret": "maggie meg peggy greta marge daisy rita", "maria": "masha mia", "martin": "marty", "matthew": "matt", "matthias": "matt matze", "maximilian": "max", "melissa": "mel", "mercedes": "merche",
+    "michael": "mike mick mikey misha mickey", "mikhail": "misha", "mohammad": "mo moh hammad", "natalia": "natasha nat", "nathaniel": "nate nat nathan", "nicholas": "nick nicky nico",
+    "nikolai": "kolya", "nikolaos": "nick nikos niko nico klaus", "olga": "olya", "oliver": "ollie", "oluwaseun": "seun olu", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "pat paddy",
+    "pavel": "pasha pavlik", "penelope": "penny nell poppy", "peter": "pete", "philip": "phil pip", "priyanka": "pri priya", "quentin": "quinn", "rachel": "rach", "ravindra": "ravi", "raymond": "ray",
+    "rebecca": "becky becca", "richard": "rick dick rich richie", "robert": "bob rob bobby robbie bert", "ronald": "ron ronnie", "rosalind": "rosa roz rose lindy", "rosario": "charo", "russell": "russ",
+    "salvatore": "toto", "samantha": "sam", "samuel": "sam sammy", "sarah": "sally sadie", "sebastian": "seb basti bastian", "sergei": "seryozha", "stephen": "steve stevie", "stuart": "stu",
+    "susan": "sue susie", "tatiana": "tanya", "theodora": "dora theo thea", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy", "tomas": "tom tomek", "ursula": "uschi ulla",
+    "valerie": "val", "veronica": "ronnie", "victor": "vic", "victoria": "vicky tori vic vicki", "vincent": "vince vinnie", "virginia": "ginny", "vladimir": "vova vlad volodya", "walter": "walt wally",
+    "wilhelmina": "willa mina billie minnie wilma", "william": "bill will liam billy willy", "winifred": "winnie", "wolfgang": "wolf", "yevgenia": "zhenya genya eugenia", "zacharias": "zach zack zac", "zachary": "zach zack",
 }
-_GIVENS = {g.replace("-", ""): g for g in NICKNAMES}
 _SHORT: dict[str, set[str]] = {}
 for _g, _names in NICKNAMES.items():
     for _n in _names.split():
-        _SHORT.setdefault(_n, set()).add(_g.replace("-", ""))
+        _SHORT.setdefault(_n, set()).add(_g)
 
 #: Words around a name that do not belong to it, particles of family names, words of groups. Fixed values.
 TITLES = set("dr prof professor phd msc bsc md ing dipl mr mrs ms sir jr sr ii iii iv esq".split())
@@ -54,12 +57,21 @@ GROUP_WORDS = set(
     "collaboration consortium center centre institute laboratory laboratories lab labs group team network initiative project university "
     "department college foundation society association committee school alliance program programme agency council".split()
 )
-_LETTERS = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "þ": "th", "ı": "i"})
+#: Letters that don't come apart into a Latin letter and a mark, and the Cyrillic and Greek letters in Latin ones. Fixed values.
+_LATIN = {"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"}
+_CYRILLIC = dict(zip("абвгдезийклмнопрстуфхцчшщъыьэюяіїєґ", "a b v g d e z i i k l m n o p r s t u f kh ts ch sh shch . y . e yu ya i i e g".split(), strict=True)) | {"ж": "zh"}
+_GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split(), strict=True))
+_LETTERS = {k: "" if v == "." else v for k, v in (_LATIN | _CYRILLIC | _GREEK).items()}
+_LETTERS = str.maketrans(_LETTERS | {k.upper(): v.capitalize() for k, v in _LETTERS.items() if len(k.upper()) == 1})
+#: Names written without a space, family name first: Han and Hangul.
+_UNSPACED = re.compile("[\u4e00-\u9fff]{2,4}|[\uac00-\ud7a3]{2,4}")
+_HAN_WORD = re.compile("[\u4e00-\u9fff]+|[\uac00-\ud7a3]+")
 
 
 def fold(s: str) -> str:
-    text = unicodedata.normalize("NFKD", s.translate(_LETTERS))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    """Without marks, in Latin letters where the script has them."""
+    text = "".join(c for c in unicodedata.normalize("NFKD", s.translate(_LETTERS)) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFKC", text.translate(_LETTERS))
 
 
 @dataclass(frozen=True)
@@ -73,59 +85,95 @@ class Name:
     particle: str
     alias: str = ""
     words: tuple[str, ...] = ()
+    parts: tuple[str, ...] = ()
 
     @property
     def full(self) -> bool:
-        return len(self.given) > 1
+        return len(self.given) > 1 or not self.given.isascii()
 
 
 @lru_cache(maxsize=200_000)
 def known_given(w: str) -> frozenset[str]:
     """Given names that a word is, is short for, or is a slip of."""
-    if w in _GIVENS:
+    if w in NICKNAMES:
         return frozenset([w, *_SHORT.get(w, ())])
     if w in _SHORT:
         return frozenset(_SHORT[w])
     if len(w) >= 4:
-        near = [g for g in _GIVENS if abs(len(g) - len(w)) <= 1 and len(g) >= 4 and edits(g, w, 1) <= 1]
+        near = [g for g in NICKNAMES if abs(len(g) - len(w)) <= 1 and len(g) >= 4 and edits(g, w, 1) <= 1]
         if not near and len(w) >= 7:
-            near = [g for g in _GIVENS if len(g) >= 7 and edits(g, w, 2) <= 2]
+            near = [g for g in NICKNAMES if len(g) >= 7 and edits(g, w, 2) <= 2]
         return frozenset(near)
     return frozenset()
 
 
+def left_out(w: str) -> list[str]:
+    """A word or code, and what is left of it without each of its signs."""
+    return list(dict.fromkeys([w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]))
+
+
+#: Long words of groups by what is left of them without one letter: two words one edit apart share one.
+_GROUP_SLIPS: dict[str, list[str]] = {}
+for _w in sorted(w for w in GROUP_WORDS if len(w) >= 8):
+    for _v in left_out(_w):
+        _GROUP_SLIPS.setdefault(_v, []).append(_w)
+
+_WORDS = re.compile(r"[^\W\d_]+")
+_NO_NAME = re.compile(r"[^\w.'’\-]|[\d_]")
+
+
+def unspaced(text: str) -> tuple[str, str] | None:
+    """(family name, given name) of a name in Han or Hangul: the first sign, or the word of one sign."""
+    ws = text.split()
+    if len(ws) == 1 and _UNSPACED.fullmatch(ws[0]):
+        return ws[0][0], ws[0][1:]
+    if len(ws) == 2 and all(map(_HAN_WORD.fullmatch, ws)) and min(map(len, ws)) == 1:
+        return (ws[0], ws[1]) if len(ws[0]) == 1 else (ws[1], ws[0])
+    return None
+
+
+def of_group(w: str) -> bool:
+    """Whether a word is one of a group's, for long ones also with one slip."""
+    return w in GROUP_WORDS or (len(w) >= 8 and any(edits(g, w, 1) <= 1 for v in left_out(w) for g in _GROUP_SLIPS.get(v, ())))
+
+
 @lru_cache(maxsize=200_000)
 def readings(raw: str) -> tuple[Name, ...]:
     """The name taken apart, and once more with the family name at the other end where neither a
-    comma nor the table of given names tells at which it is."""
+    comma, nor initials, nor the script tells at which it is."""
     text = fold(unicodedata.normalize("NFC", raw))
     alias = ""
     if m := re.search(r"[\"“”„]([^\"“”„]+)[\"“”„]", text):
-        alias = re.sub(r"[^a-z]", "", m[1].lower())
+        alias = "".join(_WORDS.findall(m[1].lower()))
         text = text[: m.start()] + " " + text[m.end() :]
     text = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", text)
     text = re.sub(r"\d+(\s*,\s*\d+)*", " ", text)
     before, comma, after = text.partition(",")
-    tail = [w for w in re.findall(r"[A-Za-z]+", after)]
+    tail = [w for w in _WORDS.findall(after)]
     if comma and not [w for w in tail if w.lower() not in TITLES]:
         before, comma, after = f"{before} {after}", "", ""
+    if not comma and (family := unspaced(before)):
+        return (Name(False, family[0], family[1], "", "", alias),)
+    hyphened: dict[str, tuple[str, ...]] = {}
 
     def pieces(s: str) -> list[str]:
         out = []
         for chunk in s.split():
-            bare = re.sub(r"[^A-Za-z.'\-]", "", chunk)
+            bare = _NO_NAME.sub("", chunk)
             if m := re.fullmatch(r"([A-Z])\.?(?:-[A-Z]\.?)+?((?:[A-Z]\.?)*)", bare):  # J.-L. and J.-L.K.
                 out += [m[1], *re.findall("[A-Z]", m[2])]
                 continue
-            for part in re.findall(r"[A-Za-z'\-]+", bare.replace(".", ". ")):
-                letters = re.sub(r"[^A-Za-z]", "", part)
+            for part in bare.replace(".", ". ").split():
+                letters = "".join(_WORDS.findall(part))
                 if letters:
                     out.append(letters)
+                    if "-" in part and all(len(w) >= 3 for w in part.split("-")):
+                        hyphened[letters.lower()] = tuple(_WORDS.findall(part.lower()))
         return out
 
     one, two = pieces(before), pieces(after)
     lower = [w.lower() for w in one + two if w.lower() not in TITLES]
-    if any(w in GROUP_WORDS or (len(w) >= 8 and any(edits(g, w, 1) <= 1 for g in GROUP_WORDS if len(g) >= 8)) for w in lower) and len(lower) >= 2:
+    if len(lower) >= 2 and any(map(of_group, lower)):
         kept = tuple(sorted(w for w in lower if w not in ("the", "of", "and", "for", "on", "behalf")))
         return (Name(True, "", "", "", "", "", kept),)
     one = [w for w in one if w.lower() not in TITLES]
@@ -151,17 +199,14 @@ def readings(raw: str) -> tuple[Name, ...]:
         if len(ws) < 2:
             return (Name(False, "".join(ws), "", "", particle, alias),)
         long = [w for w in ws if len(w) > 1]
-        first_known, last_known = bool(known_given(ws[0])), bool(known_given(ws[-1]))
-        if len(long) >= 2 and last_known and not first_known and len(ws[0]) > 1:
-            family, rest = [ws[0]], [ws[-1], *ws[1:-1]]
-        elif len(ws[-1]) == 1 and len(ws[0]) > 1 and not (len(long) >= 2):
+        if len(ws[-1]) == 1 and len(ws[0]) > 1 and not (len(long) >= 2):
             family, rest = [ws[0]], ws[1:]
         elif len(ws[-1]) == 1 and len(long) >= 2:
-            # Family Given M, or Given Family M
-            family, rest = ([long[0]], [long[1], ws[-1]]) if not known_given(long[0]) else ([long[-1]], [long[0], ws[-1]])
+            family, rest = [long[0]], [long[1], ws[-1]]  # Family Given M
         else:
             family, rest = [ws[-1]], ws[:-1]
-        if len(ws[0]) > 1 and len(long) >= 2 and not any(map(known_given, long)):
+        # an initial in the middle says that the given name comes first
+        if len(ws[0]) > 1 and len(long) >= 2 and (len(ws[1]) > 1 or len(ws[-1]) == 1):
             if family == [ws[0]]:
                 turned = [rest[0]], [ws[0], *rest[1:]]
             else:
@@ -169,61 +214,93 @@ def readings(raw: str) -> tuple[Name, ...]:
 
     def name(family: list[str], rest: list[str]) -> Name:
         given, others = rest[0], rest[1:]
-        if others and len(given) > 1 and (given + others[0]) in _GIVENS:
-            given, others = given + others[0], others[1:]
-        return Name(False, "".join(family), given, others[0][0] if others else "", particle, alias)
+        return Name(False, "".join(family), given, others[0][0] if others else "", particle, alias, (), hyphened.get(given, ()))
 
-    return (name(family, rest), name(*turned)) if turned else (name(family, rest),)
+    out = [name(family, rest)]
+    if turned:
+        out.append(name(*turned))
+    if len(rest) == 2 and all(len(w) >= 2 for w in rest):  # two given names, or one of two parts
+        out.append(replace(out[0], given="".join(rest), middle="", parts=tuple(rest)))
+    return tuple(out)
 
 
 _CODES = {**dict.fromkeys("bp", "1"), **dict.fromkeys("fvw", "2"), **dict.fromkeys("ckgqx", "3"), **dict.fromkeys("szj", "4"), **dict.fromkeys("dt", "5"), "l": "6", "r": "7", **dict.fromkeys("mn", "8")}
 
 
+@lru_cache(maxsize=200_000)
 def phonetic(w: str) -> str:
     """Classes of consonants that sound alike, without vowels, h and y; neighbours of one class
-    as one."""
+    as one. Letters that have no Latin form stand for themselves."""
     out, last = [], ""
     for c in w:
-        k = _CODES.get(c, "")
+        k = _CODES.get(c, "" if c.isascii() else c)
         if k and k != last:
             out.append(k)
         last = k
     return "".join(out) or w[:1]
 
 
-def left_out(w: str) -> list[str]:
-    """A word or code, and what is left of it without each of its signs."""
-    return list(dict.fromkeys([w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]))
-
-
 def sounds(code: str) -> list[str]:
     """A code with one sound left out each; sounds that then meet and are alike also as one."""
     if len(code) <= 2:
         return [code]
-    less = left_out(code)
-    return list(dict.fromkeys([*less, *("".join(c for c, _ in groupby(v)) for v in less[1:])]))
+    out = {code: None}
+    for i in range(len(code)):
+        less = code[:i] + code[i + 1 :]
+        out[less] = None
+        if 0 < i < len(code) - 1 and code[i - 1] == code[i + 1]:
+            out[code[:i] + code[i + 2 :]] = None
+    return list(out)
+
+
+@lru_cache(maxsize=200_000)
+def near_codes(w: str) -> list[str]:
+    """A word's code with one sound left out each. Where a code has two sounds at most, one sound
+    says too little: there also the letters, with one left out each."""
+    code = phonetic(w)
+    return sounds(code) + (["w" + v for v in left_out(w)] if len(code) <= 2 else [])
 
 
 def blocks(n: Name) -> list[str]:
-    """Block keys: phonetic codes of the sorted words, of a person the family name's with one
-    sound left out each, so that one slip leaves a common key, and the given name's initials.
-    Where a code has two sounds at most, one sound says too little: there the letters, with one
-    left out each, are the keys for one slip."""
+    """Block keys: phonetic codes of the sorted words, with one sound of one word left out each,
+    so that one slip leaves a common key. A given name stands also for what it is short for.
+    What has an initial in place of a given name has the keys of ``initial_blocks`` instead."""
     if n.group:
         words = dict.fromkeys(w for w in n.words if w not in GROUP_WORDS)
-        codes = sorted(dict.fromkeys(v for w in words for v in sounds(phonetic(w))))
-        return ["g:" + c for c in codes] + ["gw:" + v for w in words if len(phonetic(w)) <= 2 for v in left_out(w)]
-    code = phonetic(n.surname)
-    variants = sounds(code)
-    heads = dict.fromkeys([n.given[:1], *sorted(g[:1] for g in known_given(n.given)), n.alias[:1]] if n.full else [n.given[:1]])
-    out = [f"p:{v}:{len(v) - len(code)}:{h}" for v in variants for h in heads if h or not n.given]
-    out += [f"p:{v}:{d}:{h}" for v in variants if len(v) < len(code) for d in (0,) for h in heads if h]
-    out += [f"p:{code}:-1:{h}" for h in heads if h]
-    if len(code) <= 2:
-        out += [f"w:{v}:{h}" for v in left_out(n.surname) for h in heads if h]
-    if n.full and len(n.given) >= 3:
-        out.append(f"s:{n.surname}:{phonetic(n.given[1:])}")
-    return list(dict.fromkeys(out))
+        return ["g:" + v for v in dict.fromkeys(v for w in words for v in near_codes(w))]
+    if not n.surname:
+        return []
+    if not n.given:
+        return ["m:" + v for v in near_codes(n.surname)]
+    if not n.full:
+        return initial_blocks(n)
+    family, given = near_codes(n.surname), near_codes(n.given)
+    meant = [g for g in (n.given, n.alias, *n.parts, *sorted(_SHORT.get(n.given, ()))) if g]
+    pairs = [(f, phonetic(g)) for g in meant for f in family] + [(phonetic(n.surname), g) for g in given]
+    # a slip in the first letter of a given name, and one in the family name's vowels
+    if len(n.given) >= 3:
+        pairs.append((phonetic(n.surname), "r" + phonetic(n.given[1:])))
+    return list(dict.fromkeys("n:" + "|".join(sorted(p)) for p in pairs))
+
+
+def initial_blocks(n: Name) -> list[str]:
+    """Keys in which a name meets those that have only the initial of its given name."""
+    if n.group or not n.surname or not n.given:
+        return []
+    heads = dict.fromkeys([n.given[:1], *sorted(g[:1] for g in _SHORT.get(n.given, ())), n.alias[:1], *(w[:1] for w in n.parts)] if n.full else [n.given[:1]])
+    return [f"i:{v}:{h}" for v in near_codes(n.surname) for h in heads if h]
+
+
+def block_rows(raw: str) -> list[tuple[str, str, bool]]:
+    """(key, family name as it is read for the key or '', whether the name has but an initial)."""
+    rows: dict[tuple[str, str, bool], None] = {}
+    for n in readings(raw):
+        for k in blocks(n):
+            rows[k, n.surname if k[0] == "i" else "", k[0] == "i"] = None
+        if n.full:
+            for k in initial_blocks(n):
+                rows[k, n.surname, False] = None
+    return list(rows)
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -253,30 +330,39 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+@lru_cache(maxsize=400_000)
 def slip(a: str, b: str, bound: float = 0.9) -> int:
     """Edits between two words that may be one; 9 if they can't."""
     if a == b:
         return 0
     most = 1 if min(len(a), len(b)) < 10 else 2
     d = edits(a, b, most)
-    return d if d <= most and min(len(a), len(b)) >= 3 and (jaro_winkler(a, b) >= bound or jaro_winkler(a[::-1], b[::-1]) >= bound) else 9
+    # scripts that write no vowels, or a sign a syllable, say as much in fewer letters
+    least = 3 if a.isascii() and b.isascii() else 6
+    return d if d <= most and min(len(a), len(b)) >= least and (jaro_winkler(a, b) >= bound or jaro_winkler(a[::-1], b[::-1]) >= bound) else 9
 
 
 def same_given(a: Name, b: Name) -> int:
     """Edits between given names, 0 for short forms and initials that fit; 9 if they can't be one."""
+    if not a.given and not b.given:
+        return 0
     if not a.given or not b.given:
         return 9
     if not a.full or not b.full:
         x, y = (a, b) if not a.full else (b, a)
-        heads = {y.given[0], y.alias[:1]} if y.full else {y.given[0]}
+        heads = {y.given[0], y.alias[:1], *(w[0] for w in y.parts)} if y.full else {y.given[0]}
         return 0 if x.given in heads else 9
     if a.given == b.given:
         return 0
-    exact = lambda n: known_given(n.given) if n.given in _GIVENS or n.given in _SHORT else frozenset()
+    if a.given in b.parts or b.given in a.parts:
+        x, y = (a, b) if a.given in b.parts else (b, a)
+        # with the other part beside it, it is read as the name of two parts
+        return 9 if x.middle and x.middle in [w[0] for w in y.parts] else 0
+    exact = lambda n: known_given(n.given) if n.given in NICKNAMES or n.given in _SHORT else frozenset()
     ka, kb = exact(a), exact(b)
     if a.given in kb or b.given in ka or (a.alias and a.alias == b.given) or (b.alias and b.alias == a.given):
         return 0
-    if a.given in _GIVENS and b.given in _GIVENS:
+    if a.given in NICKNAMES and b.given in NICKNAMES:
         return 9
     return slip(a.given, b.given, 0.85)
 
@@ -289,14 +375,17 @@ def same_name(x: str, y: str) -> bool:
 def fitting(x: str, y: str) -> tuple[int, int] | None:
     """The first readings of two spellings in which they can name the same person or group."""
     xs, ys = readings(x), readings(y)
-    return next(((i, j) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)) if i < len(xs) and j < len(ys) and _same(xs[i], ys[j])), None)
+    return next(((i, j) for i, j in _ORDER if i < len(xs) and j < len(ys) and _same(xs[i], ys[j])), None)
+
+
+_ORDER = sorted(((i, j) for i in range(3) for j in range(3)), key=sum)
 
 
 def _same(a: Name, b: Name) -> bool:
     if a.group or b.group:
         return a.group and b.group and _same_words(a.words, b.words)
     family = slip(a.surname, b.surname)
-    if family > 2:
+    if family > 2 or not a.surname:
         return False
     given = same_given(a, b)
     if given > 2 or family + given > (2 if a.full and b.full else 1):
@@ -335,8 +424,9 @@ def signature(n: Name) -> tuple[str, str]:
 def link_variants(names: DataFrame, name: str = "name") -> DataFrame:
     """(name, entity): the spellings of one person or group share the entity, its least spelling.
 
-    Spellings are made distinct, blocked by phonetic codes (``blocks``), compared with
-    Jaro-Winkler, edits and the nickname table (``same_name``), and accepted pairs clustered by
+    Spellings are made distinct, blocked by phonetic codes of their sorted words (``blocks``), or
+    of one word and an initial where one of two has no more (there the join rejects family names
+    that are too many edits apart), compared with Jaro-Winkler, edits and the nickname table (``same_name``), and accepted pairs clustered by
     connected components. A spelling that leaves something out, a middle initial or all of the
     given name but its initial, is linked only if what it is linked to agrees: with two different
     middle initials, or given names, to choose from, none is chosen, so it can't join two people.
@@ -350,12 +440,22 @@ def link_variants(names: DataFrame, name: str = "name") -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            keys = [list(dict.fromkeys(k for n in readings(v) for k in blocks(n))) for v in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(keys, pa.list_(pa.string()))], names=["id", "keys"])
+            rows = [(k, v, sur, short) for v in b.column(0).to_pylist() for k, sur, short in block_rows(v)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "id", "sur", "short"])
+
+    keyed = stage(raw.mapInArrow(split, "key string, id string, sur string, short boolean"), "name-keys")
+
+    def near(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+        """Family names a few edits apart: no more is ever accepted, and the JVM sees it first."""
+        a, b = x("sur"), y("sur")
+        long = (F.length(a) >= 10) & (F.length(b) >= 10)
+        return (F.levenshtein(a, b, 2) >= 0) | (long & (F.levenshtein(a, b, 4) >= 0))
 
-    parsed = stage(raw.mapInArrow(split, "id string, keys array<string>"), "names")
-    pairs = bucket_pairs(crowded_members(parsed.select(F.explode("keys").alias("key"), "id")), [])
+    by_initial = F.col("key").startswith("i:")
+    spelt = bucket_pairs(crowded_members(keyed.filter(~by_initial).select("key", "id")), [])
+    pairs = spelt.unionByName(role_pairs(keyed.filter(by_initial), "short", ["sur"], near)).distinct()
 
     kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32()]
 
@@ -396,6 +496,9 @@ def agreeing(links: DataFrame) -> DataFrame:
         return links.select(F.col(f"id_{x}").alias("u"), F.col(f"id_{y}").alias("v"), *mine, *theirs)
 
     e = ends("a", "b").unionByName(ends("b", "a"))
+    # given names a slip or a short form apart are one choice, the least of what a spelling is linked to
+    lead = e.filter("uf AND vf").groupBy(F.col("u").alias("w"), F.col("ut").alias("wt")).agg(F.min(F.least("ug", "vg")).alias("lead"))
+    e = e.join(lead, (F.col("v") == F.col("w")) & (F.col("vt") == F.col("wt")), "left").withColumn("vg", F.coalesce("lead", "vg")).drop("w", "wt", "lead")
     # a link of equal middles counts before one where a side has none, a usual reading before a turned one
     sure = F.col("um") == F.col("vm")
     given = F.when(F.col("vf"), F.col("vg"))
