@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -21,8 +23,8 @@ LOOKALIKES = str.maketrans(
 LEET = str.maketrans("015", "ols")
 VOWELS = set("aeiou")
 
-#: Entries that one broadcast list may hold; longer lists are matched part by part.
-LIST_BOUND = 100_000
+#: Entries that one broadcast list may hold; longer lists are matched part by part, with the same results.
+LIST_BOUND = 50_000
 
 
 def fold(value: str) -> str:
@@ -118,8 +120,67 @@ def _mask(w: str) -> int:
     return m
 
 
+def lesser(w: str, most: int) -> set[str]:
+    """A word and what is left of it without one, or up to ``most``, of its letters."""
+    out = now = {w}
+    for _ in range(most):
+        now = {v[:i] + v[i + 1 :] for v in now for i in range(len(v))}
+        out = out | now
+    return out
+
+
+class WordIndex:
+    """Finds the words of a list that a typed word can be read as (``word_cost``), without a scan.
+
+    Two words at most k edits apart share what is left of their first HEAD letters without up to
+    k of them; shortenings are found by their beginnings and by the letters but vowels.
+    """
+
+    HEAD = 7
+
+    def __init__(self, listed: Iterable[str]):
+        self.words = sorted(listed)
+        self.known = set(self.words)
+        keys: dict[Any, list[int]] = defaultdict(list)
+        for i, w in enumerate(self.words):
+            if len(w) < 4 or any(c.isdigit() for c in w):
+                continue
+            for v in lesser(w[: self.HEAD], 1 if len(w) < 6 else 2):
+                keys[v].append(i)
+            for n in range(4, min(self.HEAD, len(w))):
+                for v in lesser(w[:n], 1):
+                    keys[n, v].append(i)
+            bones = skeleton(w)
+            for v in lesser(bones, 1) if len(bones) >= 4 else {bones}:
+                keys["b", v].append(i)
+        self.keys = dict(keys)
+
+    def costs(self, typed: str) -> dict[str, float]:
+        found: set[int] = set()
+        head, n = typed[: self.HEAD], len(typed)
+        for v in lesser(head, 2):
+            found.update(self.keys.get(v, ()))
+        for v in lesser(typed, 1):
+            found.update(self.keys.get(("b", v), ()))
+            if n < self.HEAD:
+                found.update(self.keys.get((n, v), ()))
+        if n >= 3:
+            for i in range(bisect_left(self.words, typed), len(self.words)):
+                if not self.words[i].startswith(typed):
+                    break
+                found.add(i)
+        out = {self.words[i]: c for i in found if (c := word_cost(self.words[i], typed)) is not None}
+        if typed in self.known:
+            out[typed] = 0.0
+        return out
+
+
 class Matcher:
-    """Maps values to the entries of one field's list."""
+    """Maps values to the entries of one field's list.
+
+    ``evidence`` is what a list, or a part of it, has to say of a value; ``decide`` makes the
+    result of what all parts say, so it does not depend on how a list is parted.
+    """
 
     #: The highest cost of a fuzzy match, in edits a word.
     MOST_PER_WORD = 1.3
@@ -131,7 +192,6 @@ class Matcher:
         named: dict[str, set[int]] = defaultdict(set)
         self.tokens: dict[int, list[str]] = {}
         self.by_word: dict[str, list[int]] = defaultdict(list)
-        self.squeezed: dict[str, int] = {}
         for canon_id, name, short in entries:
             if name is None or canon_id is None:
                 continue
@@ -145,76 +205,75 @@ class Matcher:
             if short and (alias := "".join(words(fold(short)))):
                 named[alias].add(canon_id)
         for pattern, ids in named.items():
-            if len(ids) == 1:
-                self.automaton.add_word(pattern, (len(pattern), next(iter(ids))))
+            # two ids are enough to know that a pattern stands for no single entry
+            self.automaton.add_word(pattern, (len(pattern), tuple(sorted(ids)[:2])))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
-        self.by_length: dict[int, list[tuple[str, int, int]]] = defaultdict(list)
+        self.index = WordIndex(self.by_word)
+        self.pieces: dict[tuple[int, int, str], list[tuple[str, int, int]]] = defaultdict(list)
         for canon_id, ws in self.tokens.items():
             s = "".join(ws)
-            self.by_length[len(s)].append((s, _mask(s), canon_id))
+            for i, (begin, end) in enumerate(cuts(len(s))):
+                self.pieces[len(s), i, s[begin:end]].append((s, _mask(s), canon_id))
         self.memo: dict[str, dict[str, float]] = {}
 
     def match(self, value: str) -> tuple[int, float]:
         """(canon_id, cost); canon_id 0 if no entry is meant or several are as near."""
+        return decide([self.evidence(value)])
+
+    def evidence(self, value: str, all_of_it: bool = False) -> Evidence:
+        """What the list says of a value; without ``all_of_it`` only as far as it decides alone."""
         if self.empty:
-            return 0, 0.0
+            return [], [], None, None
         folded = fold(value)
-        plain = words(folded)
-        found = self.embedded(plain) or self.embedded(camel_words(folded))
-        if found:
-            return found, 0.0
+        hits = self.mentions(words(folded))
+        if not all_of_it and settled(hits):
+            return hits, [], None, None
+        camel = self.mentions(camel_words(folded))
+        if not all_of_it and settled(camel):
+            return hits, camel, None, None
         bare = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", folded)
         best: dict[int, float] = {}
         for ws in {tuple(words(bare)), tuple(camel_words(bare))}:
             for canon_id, cost in self.by_words(ws).items():
                 best[canon_id] = min(cost, best.get(canon_id, 99.0))
-        if not best:
-            best = self.by_edits("".join(words(bare)))
-        if not best:
-            return 0, 0.0
-        low = min(best.values())
-        at = [k for k, v in best.items() if v <= low + 1e-9]
-        return (at[0], low) if len(at) == 1 else (0, low)
+        read = least(best)
+        return hits, camel, read, least(self.by_edits("".join(words(bare)))) if all_of_it or read is None else None
 
-    def embedded(self, ws: list[str]) -> int:
-        """The entry that the longest non-overlapping mentions name, if they name just one.
+    def mentions(self, ws: list[str]) -> list[tuple[int, int, int]]:
+        """(size, begin, canon_id) of the names and aliases that a text holds.
 
         The text is searched without separators; a mention must begin and end with a word.
         """
         text = "".join(ws)
         if not text:
-            return 0
+            return []
         begins, ends, at = set(), set(), 0
         for w in ws:
             begins.add(at)
             at += len(w)
             ends.add(at)
-        hits = []
-        for end, (size, canon_id) in self.automaton.iter(text):
-            if end + 1 in ends and end + 1 - size in begins:
-                hits.append((size, end + 1 - size, canon_id))
-        taken: list[tuple[int, int]] = []
-        ids: set[int] = set()
-        for size, begin, canon_id in sorted(hits, key=lambda h: (-h[0], h[1])):
-            if all(begin + size <= a or begin >= b for a, b in taken):
-                taken.append((begin, begin + size))
-                ids.add(canon_id)
-        return next(iter(ids)) if len(ids) == 1 else 0
+        return [
+            (size, end + 1 - size, canon_id)
+            for end, (size, ids) in self.automaton.iter(text)
+            if end + 1 in ends and end + 1 - size in begins
+            for canon_id in ids
+        ]
 
     def costs(self, typed: str) -> dict[str, float]:
         """Entry words that a typed word can be read as; remembered, in a bounded table."""
         got = self.memo.get(typed)
         if got is None:
-            got = {w: c for w in self.by_word if (c := word_cost(w, typed)) is not None}
+            got = self.index.costs(typed)
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[typed] = got
         return got
 
     def by_words(self, ws: tuple[str, ...]) -> dict[int, float]:
-        """Entries all of whose words are read from different typed words, in any order."""
+        """Token-set similarity: entries all of whose words are read from different typed words, in
+        any order; typed words beyond the set cost a little each."""
         read = [r for w in ws if (r := self.costs(w))]
         counts: dict[int, int] = defaultdict(int)
         for w in {w for r in read for w in r}:
@@ -257,18 +316,73 @@ class Matcher:
 
     def by_edits(self, text: str) -> dict[int, float]:
         """Entries whose letters, without separators, are a few edits from the text's: two, and
-        for longer texts one for six letters, up to four."""
-        out = {}
+        for longer texts one for six letters, up to four.
+
+        An edit touches at most two of the pieces that an entry is cut into (``cuts``), so one
+        piece is left whole, at most as many places away as there are edits."""
+        out: dict[int, float] = {}
         if len(text) >= 8:
             most = min(4, max(2, len(text) // 6))
             mask = _mask(text)
             for n in range(len(text) - most, len(text) + most + 1):
-                for s, m, canon_id in self.by_length.get(n, ()):
-                    if bin(mask ^ m).count("1") <= 2 * most and (d := edits(s, text, most)) <= most:
-                        out[canon_id] = float(d)
+                for i, (begin, end) in enumerate(cuts(n)):
+                    for at in range(max(0, begin - most), min(len(text), begin + most) + 1):
+                        for s, m, canon_id in self.pieces.get((n, i, text[at : at + end - begin]), ()):
+                            if canon_id not in out and bin(mask ^ m).count("1") <= 2 * most and (d := edits(s, text, most)) <= most:
+                                out[canon_id] = float(d)
         return out
 
 
+#: Mentions in the value as it is and cut at capitals; least costs by words and by letters, each with the ids.
+Mentions = list[tuple[int, int, int]]
+Least = tuple[float, list[int]] | None
+Evidence = tuple[Mentions, Mentions, Least, Least]
+
+
+def cuts(n: int) -> list[tuple[int, int]]:
+    """Bounds of the pieces of an entry of n letters: more than twice as many as edits."""
+    pieces = min(n, 2 * min(4, max(2, (n + 4) // 6)) + 1)
+    return [(i * n // pieces, (i + 1) * n // pieces) for i in range(pieces)]
+
+
+def least(costs: dict[int, float]) -> Least:
+    """The least cost and the entries that have it, two at most: two are as good as none."""
+    if not costs:
+        return None
+    low = min(costs.values())
+    return low, sorted(k for k, v in costs.items() if v <= low + 1e-9)[:2]
+
+
+def settled(hits: Mentions) -> int:
+    """The entry that the longest non-overlapping mentions name, if they name just one, or 0.
+
+    A name that two entries share is no mention of either."""
+    at: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for size, begin, canon_id in hits:
+        at[size, begin].add(canon_id)
+    taken: list[tuple[int, int]] = []
+    ids: set[int] = set()
+    for size, begin in sorted((k for k, v in at.items() if len(v) == 1), key=lambda h: (-h[0], h[1])):
+        if all(begin + size <= a or begin >= b for a, b in taken):
+            taken.append((begin, begin + size))
+            ids |= at[size, begin]
+    return next(iter(ids)) if len(ids) == 1 else 0
+
+
+def decide(parts: list[Evidence]) -> tuple[int, float]:
+    """(canon_id, cost) from what all parts of a list say of a value."""
+    for k in (0, 1):
+        if found := settled([tuple(h) for p in parts for h in p[k]]):
+            return found, 0.0
+    for k in (2, 3):
+        said = [p[k] for p in parts if p[k] is not None]
+        if said:
+            low = min(cost for cost, _ in said)
+            ids = {i for cost, at in said if cost <= low + 1e-9 for i in at}
+            return (next(iter(ids)), low) if len(ids) == 1 else (0, low)
+    return 0, 0.0
+
+
 def distinct_values(values: DataFrame) -> DataFrame:
     return values.select("field", "raw_value").distinct()
 
@@ -276,9 +390,11 @@ def distinct_values(values: DataFrame) -> DataFrame:
 def map_values(values: DataFrame, entries: DataFrame, bound: int = LIST_BOUND) -> DataFrame:
     """(field, raw_value, canon_id) of each distinct (field, raw_value); canon_id 0 if none.
 
-    Values are brought down to distinct ones first: names repeat, so the matching, the only part
-    in Python, works on what is new. The list is collected and broadcast in parts of at most
-    ``bound`` entries; with more than one part the cheapest match of all parts counts.
+    Values are brought down to distinct ones first and spread over as many tasks as a shuffle
+    has: names repeat, so the matching, the only part in Python, works on what is new. The list
+    is collected and broadcast in parts of at most ``bound`` entries. With one part the list is
+    asked only as far as it must be; with more, all parts say what they know of a value
+    (``Matcher.evidence``) and the result is decided on all of it, so it is the same for any bound.
 
     Nulls: a null value or field is dropped, a null name or id in the list too, a null alias is
     no alias. A blank value maps to 0. Two entries that are equally near: 0. Repeated rows change
@@ -286,23 +402,31 @@ def map_values(values: DataFrame, entries: DataFrame, bound: int = LIST_BOUND) -
     that two entries share after folding is no pattern for either.
     """
     wanted = distinct_values(values.filter("field IS NOT NULL AND raw_value IS NOT NULL"))
+    wanted = wanted.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "field", "raw_value")
     listed = entries.select(
         F.col("field").alias("f"), F.col("canon_id").alias("c"), F.col("name").alias("n"), F.col("short_name").alias("s")
     ).filter("c IS NOT NULL AND n IS NOT NULL AND f IS NOT NULL")
     parts = max(1, -(-listed.count() // bound))
-    found = None
+    if parts == 1:
+        return _map_part(wanted, [tuple(r) for r in listed.collect()], False).select("field", "raw_value", "canon_id")
+    said = None
     for part in range(parts):
-        own = listed if parts == 1 else listed.filter(F.pmod(F.xxhash64("c"), F.lit(parts)) == part)
-        one = _map_part(wanted, [tuple(r) for r in own.collect()])
-        found = one if found is None else found.unionByName(one)
-    assert found is not None
-    if parts > 1:
-        best = F.min(F.when(F.col("canon_id") > 0, F.struct("cost", "canon_id"))).alias("b")
-        found = found.groupBy("field", "raw_value").agg(best).select("field", "raw_value", F.coalesce("b.canon_id", F.lit(0)).alias("canon_id"), F.coalesce("b.cost", F.lit(0.0)).alias("cost"))
-    return found.select("field", "raw_value", F.col("canon_id").cast("bigint").alias("canon_id"))
+        own = listed.filter(F.pmod(F.xxhash64("c"), F.lit(parts)) == part)
+        one = _map_part(wanted, [tuple(r) for r in own.collect()], True).select("field", "raw_value", "evidence")
+        said = one if said is None else said.unionByName(one)
+    assert said is not None
+    together = said.groupBy("field", "raw_value").agg(F.collect_list("evidence").alias("evidence"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [decide([json.loads(e) for e in parts])[0] for parts in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64())], names=["field", "raw_value", "canon_id"])
+
+    return together.mapInArrow(run, "field string, raw_value string, canon_id bigint")
 
 
-def _map_part(wanted: DataFrame, rows: list[tuple[Any, ...]]) -> DataFrame:
+def _map_part(wanted: DataFrame, rows: list[tuple[Any, ...]], all_of_it: bool) -> DataFrame:
+    """(field, raw_value, canon_id, evidence): what a list decides, or all that it says, as JSON."""
     shared = wanted.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,18 +435,18 @@ def _map_part(wanted: DataFrame, rows: list[tuple[Any, ...]]) -> DataFrame:
             by_field[f].append((c, n, s))
         matchers: dict[str, Matcher] = {}
         for b in batches:
-            fields, values = b.column(0).to_pylist(), b.column(1).to_pylist()
-            got = []
-            for f, v in zip(fields, values, strict=True):
+            ids, told = [], []
+            for f, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if f not in matchers:
                     matchers[f] = Matcher(by_field.get(f, []))
-                got.append(matchers[f].match(v))
+                said = matchers[f].evidence(v, all_of_it)
+                ids.append(decide([said])[0])
+                told.append(json.dumps(said) if all_of_it else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64())],
-                names=["field", "raw_value", "canon_id", "cost"],
+                [b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(told, pa.string())], names=["field", "raw_value", "canon_id", "evidence"]
             )
 
-    return wanted.mapInArrow(run, "field string, raw_value string, canon_id bigint, cost double")
+    return wanted.mapInArrow(run, "field string, raw_value string, canon_id bigint, evidence string")
 
 
 def map_to_list(values: DataFrame, entries: DataFrame, bound: int = LIST_BOUND) -> DataFrame:
