@@ -15,25 +15,56 @@ from lorebase.llm.buckets import BLOCK, bucket_pairs, crowded_members
 from lorebase.session import stage
 
 #: MinHash values a text may have, and the chance that a pair exactly at the threshold is missed.
-MOST_HASHES = 512
+MOST_HASHES = 256
 MISS = 0.001
 #: The odd sketch: so many MinHash values folded into so many bits.
 SKETCH_SAMPLES = 256
 SKETCH_WORDS = 16
 
 
-def words(text: Column) -> Column:
-    """Runs of ``[a-z0-9]`` after lower-casing."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+#: Letters and digits of words as numbers from 1, all other bytes 0.
+_SIGNS = np.zeros(256, np.uint64)
+_SIGNS[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = np.arange(1, 37)
+_BASE = 0x5851F42D4C957F2D
 
 
-def shingles(ws: Column, n: int) -> Column:
-    """Distinct 64-bit hashes of n consecutive words; empty for fewer words.
+def shingles(texts: list[str], n: int) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of n consecutive words, sorted, of each text; empty for fewer words.
 
-    ws must be a plain column: it is read once a shingle.
+    Words are the runs of ``[a-z0-9]`` after lower-casing. All texts are one array of bytes; a
+    word's hash is a difference of prefix sums of powers of an odd base.
     """
-    at = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(n)]))))
+    raw = " ".join(t.lower() for t in texts).encode("ascii", "replace")
+    signs = _SIGNS[np.frombuffer(raw, np.uint8)]
+    inside = np.zeros(signs.size + 2, bool)
+    inside[1:-1] = signs > 0
+    start, stop = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(signs.size + 1, _BASE, np.uint64))
+        down = np.cumprod(np.full(signs.size + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+        total = np.zeros(signs.size + 1, np.uint64)
+        np.cumsum((signs * np.uint64(0x9E3779B97F4A7C15)) * up[:-1], out=total[1:])
+        word = _mix((total[stop] - total[start]) * down[start])
+        grams = word[: max(0, word.size - n + 1)].copy()
+        for i in range(1, n):
+            grams = _mix(grams * np.uint64(0x9FB21C651E98DF25) + word[i : i + grams.size])
+    edges = np.searchsorted(start, np.cumsum([0, *(len(t.lower()) + 1 for t in texts)]))
+    return [np.unique(grams[a : max(a, b - n + 1)].view(np.int64)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
+    """(k, shingles) of the rows (k, t) that have a shingle."""
+    kind = dict(rows.dtypes)["k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingles(b.column(1).to_pylist(), n)
+            edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            whole = pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["k", "shingles"])
+            yield whole.filter(pa.array(np.diff(edges) > 0))
+
+    return rows.select("k", "t").mapInArrow(run, f"k {kind}, shingles array<bigint>")
 
 
 def banding(threshold: float, most: int = MOST_HASHES, miss: float = MISS) -> tuple[int, int]:
@@ -63,23 +94,24 @@ class Signer:
         self.k = max(rows * bands, samples)
         self.samples = samples
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(1, 2**63, size=self.k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, size=self.k, dtype=np.uint64)
+        self.a = rng.integers(1, 2**31, size=self.k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(1, 2**31, size=self.k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.band_salt = _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.row_salt = np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         self.sample_salt = _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
     def minhash(self, hashes: np.ndarray) -> np.ndarray:
         """hashes: uint64, not empty. In blocks, so a very long text needs no more memory."""
-        x = _mix(hashes)
-        low = np.full(self.k, 2**64 - 1, dtype=np.uint64)
-        held = np.empty((min(128, x.size), self.k), dtype=np.uint64)
-        for i in range(0, x.size, 128):
-            part = x[i : i + 128, None]
+        x = (_mix(hashes) >> np.uint64(32)).astype(np.uint32)
+        low = np.full(self.k, 2**32 - 1, dtype=np.uint32)
+        held = np.empty((min(256, x.size), self.k), dtype=np.uint32)
+        for i in range(0, x.size, 256):
+            part = x[i : i + 256, None]
             h = np.multiply(part, self.a, out=held[: part.shape[0]])
-            h += self.b
+            h ^= h >> np.uint32(15)
+            h *= self.b
             np.minimum(low, h.min(axis=0), out=low)
-        return (low >> np.uint64(32)).astype(np.uint32)
+        return low
 
     def sign(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(band keys, sketch words), both int64."""
@@ -182,13 +214,13 @@ def near_duplicates(
     Columns other than key and text are dropped first.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL")
-    sets = rows.select("k", words(F.col("t")).alias("w")).select("k", shingles(F.col("w"), n).alias("shingles"))
-    # staged before the filter: pushed below, it would take the words apart once a shingle
-    hashed = stage(sets, "shingles").filter(F.size("shingles") > 0)
-    hashed = hashed.select("k", "shingles", F.xxhash64("shingles").alias("h1"), F.md5(F.array_join("shingles", ",")).alias("h2"))
-    groups = hashed.groupBy("h1", "h2").agg(F.min("k").alias("rep"))
-    members = stage(hashed.select("k", "h1", "h2").join(groups, ["h1", "h2"]).select(F.col("k").alias(key), "rep").distinct(), "members")
-    reps = hashed.join(members.filter(F.col(key) == F.col("rep")).select("rep"), hashed.k == F.col("rep"), "left_semi").select(F.col("k").alias("rep"), "shingles").dropDuplicates(["rep"])
+    # a number stands for the row: which row of a set represents it is then a look-up of numbers
+    sets = shingle_sets(rows, n).withColumn("row", F.monotonically_increasing_id())
+    sets = sets.select("k", "shingles", "row", F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(1), F.reverse("shingles")).alias("h2"))
+    hashed = stage(sets, "shingles")
+    groups = hashed.groupBy("h1", "h2").agg(F.min("k").alias("rep"), F.min_by("row", F.struct("k", "row")).alias("row"))
+    members = stage(hashed.select("k", "h1", "h2").join(groups.drop("row"), ["h1", "h2"]).select(F.col("k").alias(key), "rep").distinct(), "members")
+    reps = hashed.join(groups.select("row"), "row", "left_semi").select(F.col("k").alias("rep"), "shingles")
     signed = stage(sign_texts(reps, n, threshold), "signed")
     pairs = candidate_pairs(signed, threshold)
     of = signed.select("id", "rep", "shingles")

@@ -82,9 +82,23 @@ def paper_texts(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("arxiv_id", F.concat_ws(" ", "r.title", "r.abstract").alias("text"))
 
 
+def _paper_links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(paper_texts(spark, folder), "arxiv_id", "text", n=3, threshold=0.5)
+
+
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of representatives of different texts, with their similarity."""
+    return _paper_links(spark, folder)[0]
+
+
+def p5_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every paper with the representative of the papers that have its set of shingles."""
+    return _paper_links(spark, folder)[1]
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    links, members = near_duplicates(paper_texts(spark, folder), "arxiv_id", "text", n=3, threshold=0.5)
-    return all_pairs(links, members, "arxiv_id")
+    """All pairs, an expansion of p5_links and p5_members."""
+    return all_pairs(*_paper_links(spark, folder), "arxiv_id")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,6 +137,8 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_entities": p4_entities,
     "p5_found": p5_found,
+    "p5_links": p5_links,
+    "p5_members": p5_members,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,

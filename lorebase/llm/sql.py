@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-#: White space inside an RE2 character class.
-WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-
-
-def strip(c: str) -> str:
-    return f"regexp_replace({c}, '^[{WS}]+|[{WS}]+$', '', 'g')"
-
-
-def paper_id(c: str) -> str:
-    address = f"regexp_replace(lower({strip(c)}), '(?s)^.*/abs/', '')"
-    return strip(f"regexp_replace({strip(address)}, '^arxiv:', '')")
+from lorebase.plans.queries_references import WS
+from lorebase.plans.queries_references import sql_paper_id as paper_id
+from lorebase.plans.queries_references import sql_strip as strip
 
 
 def item(c: str) -> str:
@@ -40,8 +32,8 @@ cases AS (
   JOIN total t ON t.field = p.field WHERE n_both >= 5 AND n_both * n >= 4 * x.c * y.c)
 """
 
-PAPER_PAIRS = f"""
-WITH latest AS (
+SETS = f"""
+latest AS (
   SELECT arxiv_id, title, abstract FROM papers
   QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY created_at DESC NULLS LAST, title DESC NULLS LAST, abstract DESC NULLS LAST) = 1),
 texts AS (
@@ -51,13 +43,18 @@ sets AS (
   SELECT DISTINCT arxiv_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
   FROM (SELECT arxiv_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
 sizes AS (SELECT arxiv_id, count(*) AS n FROM sets GROUP BY 1),
-shared AS (SELECT a.arxiv_id AS id_a, b.arxiv_id AS id_b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.arxiv_id < b.arxiv_id GROUP BY 1, 2)
-SELECT id_a, id_b FROM shared JOIN sizes x ON x.arxiv_id = id_a JOIN sizes y ON y.arxiv_id = id_b
-WHERE 2 * shared.n >= x.n + y.n - shared.n
+shared AS (SELECT a.arxiv_id AS id_a, b.arxiv_id AS id_b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.arxiv_id < b.arxiv_id GROUP BY 1, 2),
+cases AS (
+  SELECT id_a, id_b, CAST(shared.n AS DOUBLE) / (x.n + y.n - shared.n) AS jaccard FROM shared JOIN sizes x ON x.arxiv_id = id_a JOIN sizes y ON y.arxiv_id = id_b
+  WHERE 2 * shared.n >= x.n + y.n - shared.n),
+members AS (SELECT arxiv_id, min(arxiv_id) OVER (PARTITION BY l) AS rep FROM (SELECT arxiv_id, list(s ORDER BY s) AS l FROM sets GROUP BY 1))
 """
 
 SQL: dict[str, str] = {
-    "p5_found": PAPER_PAIRS,
+    "p5_found": f"WITH {SETS} SELECT id_a, id_b FROM cases",
+    "p5_links": f"""WITH {SETS} SELECT id_a AS rep_a, id_b AS rep_b, jaccard FROM cases
+      WHERE id_a IN (SELECT rep FROM members) AND id_b IN (SELECT rep FROM members)""",
+    "p5_members": f"WITH {SETS} SELECT arxiv_id, rep FROM members",
     "p2_found": f"WITH {PAIRS} SELECT field, item_a, item_b FROM cases",
     "p2_scores": f"""WITH {PAIRS} SELECT *, CAST(n_both * n AS DOUBLE) / CAST(n_a * n_b AS DOUBLE) AS lift,
       CASE WHEN n_a > n_both THEN CAST(n_a * (n - n_b) AS DOUBLE) / (CAST(n AS DOUBLE) * (n_a - n_both)) END AS conviction_ab,
