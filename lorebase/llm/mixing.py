@@ -113,11 +113,17 @@ def balance(sizes: DataFrame, sources: dict[str, Source]) -> int:
 
 
 def read_targets(targets: DataFrame) -> dict[str, Source]:
-    """Null sources are dropped; null or negative shares and repeats count as 0."""
+    """Null sources are dropped; null or negative shares and repeats count as 0. A source that is
+    listed twice is an error: which of its targets holds would not be defined."""
     rows = targets.select("source", "target_share", "max_repeats").filter("source IS NOT NULL")
     if not rows_at_most(rows, MOST_SOURCES):
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    return {r[0]: Source(max(0.0, r[1] or 0.0), max(0, r[2] or 0)) for r in rows.collect()}
+    out: dict[str, Source] = {}
+    for name, share, repeats in rows.collect():
+        if name in out:
+            raise ValueError(f"source {name!r} is listed twice")
+        out[name] = Source(max(0.0, share or 0.0), max(0, repeats or 0))
+    return out
 
 
 def mix(
@@ -165,7 +171,9 @@ def mix(
     else:
         total = float(total_tokens)
     goals(sources, total)
+    sizes = sizes.persist()  # read once a round of Newton; what is lost is read again from its stage
     balance(sizes, sources)
+    sizes.unpersist()
     used = [
         (k, s.dual, float(s.repeats), s.tokens / s.docs, s.goal >= s.most, max(1, -(-s.docs // ROUNDING)))
         for k, s in sorted(sources.items())

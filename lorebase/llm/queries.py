@@ -106,19 +106,24 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of the mix with their number of copies."""
-    return mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))
+    """The documents of the mix with their number of copies. The mix is as large as the listed
+    sources: no text is given up for the shares, small sources stay at their repeats and short."""
+    return mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets"), total_tokens="listed_tokens")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and reached share of every source of mix_targets."""
+    """Target and reached share of every source of mix_targets, in p7_mix."""
     return shares(p7_mix(spark, folder), load(spark, folder, "mix_targets"))
 
 
-def p7_shares_full_size(spark: SparkSession, folder: str) -> DataFrame:
-    """As p7_shares, for a mix as large as the listed sources: small sources fall short."""
-    targets = load(spark, folder, "mix_targets")
-    return shares(mix(load(spark, folder, "documents"), targets, total_tokens="listed_tokens"), targets)
+def p7_mix_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_mix, but the largest mix in which every source that has documents reaches its target."""
+    return mix(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))
+
+
+def p7_shares_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every source of mix_targets, in p7_mix_exact."""
+    return shares(p7_mix_exact(spark, folder), load(spark, folder, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +147,8 @@ QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
-    "p7_shares_full_size": p7_shares_full_size,
+    "p7_mix_exact": p7_mix_exact,
+    "p7_shares_exact": p7_shares_exact,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
 }
