@@ -95,3 +95,47 @@ def result_lines(results: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- "), F.col("method_name"), F.lit(": "), F.col("metric"), sign, F.lit(" = "), F.col("value").cast("string"), tag)
     rows = results.groupBy("arxiv_id", "benchmark", "setting").agg(F.array_sort(F.collect_list(F.struct("entry_pos", "result_pos", line.alias("line")))).alias("ls"))
     return rows.select("arxiv_id", "benchmark", "setting", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("lines"))
+
+
+def benchmarks_of(readings: DataFrame) -> DataFrame:
+    """(arxiv_id, benchmarks, method_summary, experimental_setup, main_results): what a reading says
+    of its experiments, for whoever asks about one paper. No table gives an empty list."""
+    entries = F.coalesce("experiment_table.entries", F.array().cast(dict(readings.select("experiment_table.entries").dtypes)["entries"]))
+
+    def entry(e: Column) -> Column:
+        better = F.when(F.coalesce(e["higher_is_better"], F.lit(True)), "higher").otherwise("lower")
+        results = F.transform(e["results"], lambda r: F.struct(r["method_name"].alias("method"), r["value"].alias("value"), r["is_paper_method"].alias("is_paper_method")))
+        return F.struct(e["benchmark"].alias("benchmark"), e["setting"].alias("setting"), e["metric"].alias("metric"), better.alias("better"), results.alias("results"))
+
+    return readings.select("arxiv_id", F.transform(entries, entry).alias("benchmarks"), F.col("proposed_method").alias("method_summary"), "experimental_setup", "main_results")
+
+
+def reading_report(readings: DataFrame) -> DataFrame:
+    """(arxiv_id, report): a reading as text. Fixed format."""
+
+    def entry(e: Column) -> Column:
+        arrow = F.when(F.coalesce(e["higher_is_better"], F.lit(True)), "↑").otherwise("↓")
+        line = lambda r: F.concat(F.lit("    "), F.coalesce(r["method_name"], F.lit("None")), F.lit(": "), F.coalesce(r["value"].cast("string"), F.lit("None")), F.when(r["is_paper_method"], " [paper]").otherwise(""))
+        head = F.concat(F.lit("  "), F.coalesce(e["benchmark"], F.lit("None")), F.lit(" / "), F.coalesce(e["setting"], F.lit("default")), F.lit(" / "), F.coalesce(e["metric"], F.lit("None")), arrow, F.lit(":"))
+        return F.concat_ws("\n", head, F.transform(e["results"], line))
+
+    entries = F.col("experiment_table.entries")
+    results = F.when(F.size(entries) > 0, F.concat(F.lit("\nExperiment Results:\n"), F.array_join(F.transform(entries, entry), "\n")))
+    listed = F.concat_ws("\n", F.lit("\nKey Contributions:"), F.transform("key_contributions", lambda c: F.concat(F.lit("  - "), c)))
+    said = lambda name, c: F.concat(F.lit(f"\n{name}: "), F.coalesce(c, F.lit("")))
+    return readings.select("arxiv_id", F.concat_ws(
+        "\n", F.concat(F.lit("Paper: "), "arxiv_id"), said("Problem", "problem_statement"), said("Method", "proposed_method"), listed, said("Experimental Setup", "experimental_setup"),
+        said("Main Results", "main_results"), said("Limitations", "limitations"), said("Comparison to Prior Work", "comparison_to_prior_work"), results,
+    ).alias("report"))
+
+
+def delta_report(deltas: DataFrame) -> DataFrame:
+    """(arxiv_id, report): what is new in a paper, its significance in capitals. Fixed format."""
+
+    def part(name: str, sign: str, c: str) -> Column:
+        return F.when(F.size(c) > 0, F.concat_ws("\n", F.lit(f"{name}:"), F.transform(c, lambda x: F.concat(F.lit(f"  {sign} "), x))))
+
+    return deltas.select("arxiv_id", F.concat_ws(
+        "\n", F.concat(F.lit("Contribution Analysis: "), F.upper("overall_significance")), part("Novel", "+", "novel_contributions"),
+        part("Incremental", "~", "incremental_improvements"), part("Contradicts prior work", "!", "contradicts_prior"),
+    ).alias("report"))

@@ -60,7 +60,7 @@ def pivoted(rows: DataFrame) -> DataFrame:
 
 
 def rendered(rows: DataFrame) -> DataFrame:
-    """(slug, markdown): a section per setting, a table with a column per metric.
+    """(slug, markdown): a section per setting, a table with a column per metric, notes below it.
 
     A board is as large as its methods; boards are rendered apart from each other.
     """
@@ -77,7 +77,10 @@ def rendered(rows: DataFrame) -> DataFrame:
     rule = F.concat(F.lit("|---|---|"), F.repeat(F.lit("---|"), F.size("ms")), F.lit("---|---|"))
     order = F.struct(F.coalesce("rank", F.lit(1 << 30)).alias("r"), F.col("method").alias("m"), line.alias("line"))
     sections = table.groupBy("slug", "benchmark", "setting", head.alias("head"), rule.alias("rule")).agg(F.array_sort(F.collect_list(order)).alias("ls"))
-    text = F.concat(F.lit("## "), "setting", F.lit("\n\n"), "head", F.lit("\n"), "rule", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    noted = now.filter("note <> ''").groupBy("slug", "setting").agg(F.array_join(F.array_sort(F.collect_set("note")), "\n").alias("notes"))
+    sections = sections.join(noted, ["slug", "setting"], "left")
+    below = F.coalesce(F.concat(F.lit("\n\n"), "notes"), F.lit(""))
+    text = F.concat(F.lit("## "), "setting", F.lit("\n\n"), "head", F.lit("\n"), "rule", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), below)
     boards = sections.groupBy("slug").agg(F.min("benchmark").alias("b"), F.array_sort(F.collect_list(F.struct("setting", text.alias("t")))).alias("ts"))
     return boards.select("slug", F.concat(F.lit("# "), "b", F.lit("\n\n"), F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n"), F.lit("\n")).alias("markdown"))
 

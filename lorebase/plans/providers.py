@@ -68,6 +68,38 @@ def remote(requests: DataFrame, ask: Callable[[str], str], in_flight: int = IN_F
     return requests.mapInPandas(run, schema)
 
 
+def replay_vectors(texts: DataFrame, recorded: DataFrame) -> DataFrame:
+    """texts (text, ...) with their ``embedding`` out of a table (text_key, embedding), null where
+    there is none. The provider of embeddings that a run can be repeated with."""
+    one = recorded.groupBy("text_key").agg(F.max("embedding").alias("embedding"))
+    return texts.withColumn("text_key", F.sha2("text", 256)).join(one, "text_key", "left").drop("text_key")
+
+
+def remote_vectors(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 64, waits: tuple[float, ...] = WAITS) -> DataFrame:
+    """texts (text, ...) with their ``embedding`` from a service that takes lists of texts; tried
+    again after growing waits. A batch that fails to the end has null vectors and is asked for in
+    the next run. ``embed`` must be picklable."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + ", embedding array<float>"
+
+    def ask(part: list[str]) -> list[list[float] | None]:
+        for i in range(len(waits) + 1):
+            try:
+                return list(embed(part))
+            except Exception:  # noqa: BLE001
+                if i < len(waits):
+                    time.sleep(waits[i])
+        return [None] * len(part)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            vectors: list[list[float] | None] = []
+            for a in range(0, len(b), batch):
+                vectors += ask([str(t) for t in b["text"][a : a + batch]])
+            yield b.assign(embedding=vectors)
+
+    return texts.mapInPandas(run, schema)
+
+
 def asked_once(replies: DataFrame) -> DataFrame:
     return stage(replies, "replies")
 
@@ -98,6 +130,18 @@ def parse_deltas(replies: DataFrame) -> DataFrame:
     return replies.withColumns({**lists, "overall_significance": F.coalesce(r["overall_significance"], F.lit("marginal"))})
 
 
+CAUSES = "struct<analyses:array<struct<method:string,metric:string,explanation:string,cause:string,recommendation:string>>>"
+
+
+def parse_causes(reply: Column) -> Column:
+    """Notes on the causes of conflicts, a line each; null where the reply holds none. Fixed format."""
+    note = lambda a: F.concat(
+        F.lit("> ⚠ "), a["method"], F.lit("/"), a["metric"], F.lit(": "), a["explanation"], F.lit(" (cause: "), a["cause"], F.lit(", action: "), a["recommendation"], F.lit(")")
+    )
+    notes = F.filter(F.transform(F.from_json(reply, CAUSES)["analyses"], note), lambda n: n.isNotNull())
+    return F.when(F.size(notes) > 0, F.array_join(notes, "\n"))
+
+
 def missing_keys(fields: dict[str, Column]) -> Column:
     """An error that names the first required field that is null."""
     out = F.lit(None).cast("string")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,10 +60,30 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for held in _STAGED:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[list[str]] = []
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Within it, what ``stage`` writes is noted, and deleted at its end; frames that read staged
+    data must have been written or collected by then."""
+    held: list[str] = []
+    _STAGED.append(held)
+    try:
+        yield
+    finally:
+        _STAGED.remove(held)
+        for path in held:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether the frame has at most ``bound`` rows; reads no more than it must to know."""
     return df.limit(bound + 1).count() <= bound

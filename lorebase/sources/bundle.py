@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators.upsert import last_of_each, upsert_papers, upsert_rows
 from lorebase.session import rows_at_most
+from lorebase.sources import storage
 from lorebase.sources.files import valid_name
 from lorebase.tables import empty, schema
 
@@ -29,19 +29,23 @@ ONE_DOCUMENT_ROWS = 100_000
 
 
 def export_bundle(tables: dict[str, DataFrame], folder: str, at: datetime, config: dict[str, Any] | None = None, boards: dict[str, str] | None = None) -> None:
-    for name in TABLES:
-        if name in tables:
-            tables[name].select(schema(name).names).write.mode("overwrite").options(**JSON).json(f"{folder}/{name}")
+    held = [t for t in TABLES if t in tables]
+    if not held:
+        raise ValueError("no tables to export")
+    spark = tables[held[0]].sparkSession
+    storage.make_folder(spark, folder)
+    for name in held:
+        tables[name].select(schema(name).names).write.mode("overwrite").options(**JSON).json(storage.join(folder, name))
     pages = {valid_name(k): v for k, v in sorted((boards or {}).items())}
     manifest = {
-        "version": VERSION, "exported_at": at.isoformat(), "config": config or {},
+        "version": VERSION, "exported_at": at.isoformat(), "config": config or {}, "tables": held,
         "classic_baselines_md": pages.pop("classic_baselines.md", ""), "sota_tables": pages,
     }
-    Path(folder, "manifest.json").write_text(json.dumps(manifest, ensure_ascii=False, indent=1), encoding="utf-8")
+    storage.write_text(spark, storage.join(folder, "manifest.json"), json.dumps(manifest, ensure_ascii=False, indent=1))
 
 
-def read_manifest(folder: str) -> dict[str, Any]:
-    manifest = json.loads(Path(folder, "manifest.json").read_text(encoding="utf-8"))
+def read_manifest(spark: SparkSession, folder: str) -> dict[str, Any]:
+    manifest = json.loads(storage.read_text(spark, storage.join(folder, "manifest.json")))
     if manifest.get("version", 0) != VERSION:
         raise ValueError(f"unsupported bundle version {manifest.get('version', 0)}, expected {VERSION}")
     for name in manifest.get("sota_tables", {}):
@@ -50,8 +54,11 @@ def read_manifest(folder: str) -> dict[str, Any]:
 
 
 def read_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    read_manifest(folder)
-    return {t: spark.read.schema(schema(t)).options(**JSON).json(f"{folder}/{t}") if Path(folder, t).exists() else empty(spark, t) for t in TABLES}
+    """The bundle's tables; one that the manifest lists and the folder lacks is an error."""
+    held = read_manifest(spark, folder).get("tables", [t for t in TABLES if storage.exists(spark, storage.join(folder, t))])
+    if lost := [t for t in held if not storage.exists(spark, storage.join(folder, t))]:
+        raise FileNotFoundError(f"the bundle {folder} lacks {', '.join(lost)}")
+    return {t: spark.read.schema(schema(t)).options(**JSON).json(storage.join(folder, t)) if t in held else empty(spark, t) for t in TABLES}
 
 
 def import_bundle(spark: SparkSession, folder: str, old: dict[str, DataFrame], merge: bool, boards_folder: str | None = None) -> tuple[dict[str, DataFrame], dict[str, int]]:
@@ -61,7 +68,7 @@ def import_bundle(spark: SparkSession, folder: str, old: dict[str, DataFrame], m
     the bundle's rows are upserted like single records: papers take title and abstract, the others
     all but the time they were first stored.
     """
-    manifest, new = read_manifest(folder), read_bundle(spark, folder)
+    manifest, new = read_manifest(spark, folder), read_bundle(spark, folder)
     counts = {t: df.count() for t, df in new.items()}
     out: dict[str, DataFrame] = {}
     for t, df in new.items():
@@ -75,12 +82,12 @@ def import_bundle(spark: SparkSession, folder: str, old: dict[str, DataFrame], m
     if manifest.get("classic_baselines_md"):
         pages["classic_baselines.md"] = manifest["classic_baselines_md"]
     if boards_folder:
-        Path(boards_folder).mkdir(parents=True, exist_ok=True)
-        if not merge:
-            for p in Path(boards_folder).glob("*.md"):
-                p.unlink()
+        storage.make_folder(spark, boards_folder)
         for name, text in pages.items():
-            Path(boards_folder, valid_name(name)).write_text(text, encoding="utf-8")
+            storage.write_text(spark, storage.join(boards_folder, valid_name(name)), text)
+        for name in [] if merge else storage.names(spark, boards_folder, ".md"):
+            if name not in pages:
+                storage.delete(spark, storage.join(boards_folder, name))
     return out, {**counts, "sota_files": len(pages)}
 
 
@@ -105,21 +112,7 @@ def one_document(tables: dict[str, DataFrame], at: datetime, config: dict[str, A
     return out.select(F.to_json(F.struct(*head, *out.columns), JSON).alias("json"))
 
 
-def write_tables(frames: dict[str, DataFrame]) -> None:
-    """Overwrites Parquet tables, by path, that the frames themselves may read.
-
-    All are written aside before any is swapped in by a rename, on whatever file system they are.
-    """
-    for path, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{path}.new")
-    for path, df in frames.items():
-        spark = df.sparkSession
-        jvm = spark._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"could not move {path}.new to {path}")
+write_tables = storage.replace_tables
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import safe_id, strip
+from lorebase.sources import storage
 
 PAGES = 20
 
@@ -67,17 +67,18 @@ def boards(spark: SparkSession, folder: str) -> DataFrame:
 
 def valid_name(name: str) -> str:
     """A file name that stays in its folder, or an error."""
-    if not re.fullmatch(r"[\w][\w.\- ]*\.md", name) or Path(name).name != name:
+    if not re.fullmatch(r"[\w][\w.\- ]*\.md", name):
         raise ValueError(f"not a board's file name: {name!r}")
     return name
 
 
 def write_boards(rendered: DataFrame, folder: str) -> int:
     """One Markdown file per board (slug, markdown); boards come to the driver one by one."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    spark = rendered.sparkSession
+    storage.make_folder(spark, folder)
     n = 0
     for slug, markdown in rendered.select("slug", "markdown").toLocalIterator():
-        Path(folder, valid_name(f"{slug}.md")).write_text(markdown, encoding="utf-8")
+        storage.write_text(spark, storage.join(folder, valid_name(f"{slug}.md")), markdown)
         n += 1
     return n
 
