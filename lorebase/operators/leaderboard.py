@@ -9,6 +9,8 @@ setting, as a text-only leaderboard has to.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions.numbers import conflicts, to_double
 from lorebase.functions.text import cells, contains_either_way, lines, paper_id_in, same_ignoring_case, slug, without_arrows
+from lorebase.session import stage
 
 TOLERANCE = 0.05
 
@@ -48,14 +51,40 @@ def ranked(rows: DataFrame, first_metric: DataFrame | None = None) -> DataFrame:
     leading = now.join(lead, ["slug", "setting", "metric"], "left_semi")
     good = F.when(F.isnan("value"), None).otherwise(F.col("value"))
     signed = F.when(F.col("higher_is_better"), good).otherwise(-good)
-    w = Window.partitionBy("slug", "setting").orderBy(signed.desc_nulls_last(), "method")
-    return leading.withColumn("rank", F.row_number().over(w))
+    rows = stage(leading.withColumn("_signed", signed), "ranked-rows")
+    return row_numbers(rows, ["slug", "setting"], "_signed", "method").drop("_signed")
+
+
+#: Rows of a board's setting that one task ranks, and parts that a larger one is spread over.
+RANKED_AT_ONCE, RANK_PARTS = 1_000_000, 64
+
+
+def row_numbers(rows: DataFrame, key: list[str], value: str, tie: str, parts: int = RANK_PARTS, out: str = "rank") -> DataFrame:
+    """``rank``: the place of each row within its key, the largest value first, nulls last, ties by
+    ``tie``. rows must be staged, they are read several times.
+
+    Where a key has more than RANKED_AT_ONCE rows, keys are cut into ranges of values, at quantiles
+    of their own values, and a row's place is its place in its range behind all rows of the ranges
+    before, so no task ranks a whole hot key. Cuts only spread the work: with any, or none, the
+    places are the same."""
+    if rows.groupBy(*key).count().filter(F.col("count") > RANKED_AT_ONCE).isEmpty():
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(F.col(value).desc_nulls_last(), tie)))
+    cuts = rows.groupBy(*key).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    known = F.col(value).isNotNull()
+    part = F.when(known, F.size(F.filter("_cuts", lambda c: c > F.col(value)))).otherwise(parts)
+    placed = rows.join(cuts, key).withColumn("_part", part).drop("_cuts")
+    sizes = placed.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*key, "_part").orderBy(F.col(value).desc_nulls_last(), tie)
+    numbered = placed.withColumn("_at", F.row_number().over(inside)).join(starts, [*key, "_part"])
+    return numbered.withColumn(out, (F.col("_before") + F.col("_at")).cast("int")).select(*rows.columns, out)
 
 
 def pivoted(rows: DataFrame) -> DataFrame:
     """(slug, setting, method, values): one row per method with a map of metric to value."""
     return latest_rows(rows).groupBy("slug", "setting", "method").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("values"), F.max_by("arxiv_id", "seq").alias("arxiv_id")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("values"), F.max_by("arxiv_id", F.struct("seq", "arxiv_id")).alias("arxiv_id")
     )
 
 
@@ -65,12 +94,12 @@ def rendered(rows: DataFrame) -> DataFrame:
     A board is as large as its methods; boards are rendered apart from each other.
     """
     now = latest_rows(rows)
-    metrics = now.groupBy("slug", "benchmark", "setting").agg(
-        F.array_sort(F.collect_set(F.struct("metric", F.coalesce("higher_is_better", F.lit(True)).alias("up")))).alias("ms")
-    )
-    lead = metrics.select("slug", "setting", F.col("ms")[0]["metric"].alias("metric")).dropDuplicates(["slug", "setting"])
+    # a board has one name and a metric one direction, however they were spelt
+    each = now.groupBy("slug", "setting", "metric").agg(F.min("benchmark").alias("b"), F.bool_or(F.coalesce("higher_is_better", F.lit(True))).alias("up"))
+    metrics = each.groupBy("slug", "setting").agg(F.min("b").alias("benchmark"), F.array_sort(F.collect_list(F.struct("metric", "up"))).alias("ms"))
+    lead = metrics.select("slug", "setting", F.col("ms")[0]["metric"].alias("metric"))
     rank = ranked(rows, lead).select("slug", "setting", "method", "rank")
-    table = pivoted(rows).join(rank, ["slug", "setting", "method"], "left").join(metrics.dropDuplicates(["slug", "setting"]), ["slug", "setting"])
+    table = pivoted(rows).join(rank, ["slug", "setting", "method"], "left").join(metrics, ["slug", "setting"])
     shown = F.array_join(F.transform("ms", lambda m: F.coalesce(F.try_element_at(F.col("values"), m["metric"]).cast("string"), F.lit("-"))), " | ")
     line = F.concat(F.lit("| "), F.coalesce(F.col("rank").cast("string"), F.lit("-")), F.lit(" | "), "method", F.lit(" | "), shown, F.lit(" | "), F.coalesce("arxiv_id", F.lit("")), F.lit(" |  |"))
     head = F.concat(F.lit("| Rank | Method | "), F.array_join(F.transform("ms", lambda m: F.concat(m["metric"], F.when(m["up"], "↑").otherwise("↓"))), " | "), F.lit(" | Paper | Notes |"))
@@ -140,13 +169,18 @@ def conflicts_with_board(new: DataFrame, board: DataFrame, tolerance: float = TO
     metric join; of the board's rows whose method contains the new one or the other way round the
     first in board order counts.
     """
-    n = new.filter(~F.col("is_paper_method")).withColumns({"_id": F.monotonically_increasing_id(), "_metric": F.lower("metric")})
+    own = [c for c in new.columns if c not in ("slug", "method")]
+    n = new.filter(~F.col("is_paper_method")).groupBy("slug", "method", F.lower("metric").alias("_metric")).agg(F.collect_list(F.struct(*own)).alias("_own"))
     b = board.select(
         "slug", F.lower("metric").alias("_metric"), F.col("method").alias("known_method"), F.col("value").alias("existing_value"), F.col("arxiv_id").alias("paper_source"), F.col("seq").alias("_seq")
     ).filter("existing_value IS NOT NULL")
-    near = n.join(b, ["slug", "_metric"]).filter(contains_either_way(F.col("method"), F.col("known_method")))
-    first = near.groupBy("_id").agg(F.min_by(F.struct(*[c for c in near.columns if c != "_id"]), F.struct("_seq", "known_method")).alias("r")).select("r.*")
-    return first.filter(conflicts(F.col("value"), F.col("existing_value"), tolerance)).drop("_metric", "_seq")
+    # asked once per distinct method of a board and metric; equal rows of new papers share the answer
+    asked = n.select("slug", "method", "_metric")
+    near = asked.join(b, ["slug", "_metric"]).filter(contains_either_way(F.col("method"), F.col("known_method")))
+    known = F.struct("known_method", "existing_value", "paper_source")
+    first = near.groupBy("slug", "method", "_metric").agg(F.min_by(known, F.struct("_seq", "known_method")).alias("k"))
+    rows = n.join(first, ["slug", "method", "_metric"]).select("slug", "method", F.explode("_own").alias("o"), "k").select("slug", "method", "o.*", "k.*")
+    return rows.select(*new.columns, "known_method", "existing_value", "paper_source").filter(conflicts(F.col("value"), F.col("existing_value"), tolerance))
 
 
 def conflicts_as_of(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -236,6 +270,15 @@ class Page:
         rows = ([c.strip() for c in x.split("|")] for x in bars if "---" not in x and "Rank" not in x)
         self.rows = [((cs[2] if len(cs) > 2 else "").lower(), cs) for cs in rows]
 
+    @classmethod
+    def joined(cls, pages: Iterable[Page]) -> Page:
+        """Pages one after the other as one."""
+        out = cls("")
+        for p in pages:
+            out.heads += p.heads
+            out.rows += p.rows
+        return out
+
     def value(self, method: str, metric: str) -> float | None:
         """find_value in Python, for the fold and as the tests' second opinion."""
         name, wanted = method.lower(), metric.lower()
@@ -259,18 +302,27 @@ def lookup(md: str, method: str, metric: str) -> float | None:
 def fold(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Conflicts of the exact, paper by paper processing of each board (``compat``).
 
-    One task holds one board at a time; boards are independent. For boards too large for that,
-    ``conflicts_as_of`` is the set-based form.
+    One task holds one board at a time; boards are independent. A look-up may hit any row of the
+    board's text, whatever its setting, so a board can't be parted without other results; of its
+    text only the setting that a paper changed is rendered and taken apart again. The pipeline
+    uses ``conflicts_as_of``, the set-based form, for which no board is too large.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict[tuple[str, str, str], dict[str, Any]] = {}
+        state: dict[str, dict[tuple[str, str], dict[str, Any]]] = {}
+        pages: dict[str, Page] = {}
         out = []
-        pdf = pdf.sort_values(["seq", "arxiv_id", "entry_pos", "result_pos"])
-        for _, paper in pdf.groupby(["seq", "arxiv_id"], sort=False):
-            for _, group in paper.groupby("setting", sort=False):
-                records = group.to_dict("records")
-                page = Page(_render(list(state.values()))) if state and not all(r["is_paper_method"] for r in records) else None
+        pdf = pdf[pdf["setting"].notna() & pdf["arxiv_id"].notna()].sort_values(["seq", "arxiv_id", "entry_pos", "result_pos"])
+        for _, paper in groupby(pdf.to_dict("records"), key=lambda r: (r["seq"], r["arxiv_id"])):
+            settings: dict[str, list[dict[str, Any]]] = {}
+            for r in paper:
+                settings.setdefault(r["setting"], []).append(r)
+            for records in settings.values():
+                page = None
+                if state and not all(r["is_paper_method"] for r in records):
+                    for changed in state.keys() - pages.keys():
+                        pages[changed] = Page(_render(list(state[changed].values())))
+                    page = Page.joined(pages[k] for k in sorted(state))
                 for r in records:
                     if page and not r["is_paper_method"] and r["value"] is not None and r["value"] == r["value"]:
                         old = page.value(r["method"], r["metric"])
@@ -278,9 +330,10 @@ def fold(rows: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
                             out.append((r["slug"], r["arxiv_id"], r["setting"], r["metric"], r["method"], r["value"], old))
                 for r in records:
                     if r["value"] is not None and r["value"] == r["value"]:
-                        key = (r["setting"], r["metric"], r["method"])
-                        state.pop(key, None)
-                        state[key] = r
+                        key, own = (r["metric"], r["method"]), state.setdefault(r["setting"], {})
+                        own.pop(key, None)
+                        own[key] = r
+                        pages.pop(r["setting"], None)
         return pd.DataFrame(out, columns=["slug", "arxiv_id", "setting", "metric", "method", "value", "existing_value"])
 
     cols = rows.select("slug", "arxiv_id", "seq", "setting", "metric", "method", "value", "is_paper_method", "entry_pos", "result_pos")

@@ -6,13 +6,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.operators.gates import top_of_each
 
 #: Queries that are sent to the tasks at once, and vectors compared with them at once.
-QUERY_BLOCK, VECTOR_BLOCK = 2_048, 512
+QUERY_BLOCK, VECTOR_BLOCK = 8_192, 1_024
+
+
+def _least(at: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of each query with the least (distance, id)."""
+    order = np.lexsort((ids, d, at))
+    at, ids, d = at[order], ids[order], d[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], ids[keep], d[keep]
+
+
+def _block(ids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, prior_only: bool, with_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, distance) of at least the k nearest of a block of vectors.
+
+    A matrix product gives all distances but for rounding; those that rounding leaves in doubt
+    are kept, and distances of what is kept are summed up exactly."""
+    sizes, mine = (q**2).sum(axis=1), (v**2).sum(axis=1)
+    rough = sizes[:, None] + mine[None, :] - 2 * (q @ v.T)
+    doubt = 1e-9 * (sizes[:, None] + mine[None, :]) + 1e-12
+    if prior_only:
+        rough[own[None, :] >= ids[:, None] + (1 if with_self else 0)] = np.inf
+    elif not with_self:
+        rough[own[None, :] == ids[:, None]] = np.inf
+    least = np.partition(rough, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1]
+    i, j = np.nonzero((rough <= least[:, None] + 2 * doubt) & np.isfinite(rough))
+    d = np.zeros(len(i))
+    for c in range(q.shape[1]):
+        d += (q[i, c] - v[j, c]) ** 2
+    return _least(i, own[j], d, k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, prior_only: bool = False, with_self: bool = False, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -37,29 +66,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, prior_only: bool
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            near_d = np.full((len(ids), 0), 0.0)
-            near_i = np.zeros((len(ids), 0), dtype=np.int64)
+            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for b in batches:
-                own_all = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 lists = b.column(1)
-                fit = np.array([len(x) == q.shape[1] for x in lists], dtype=bool) if len(lists) else np.zeros(0, bool)
-                own_all = own_all[fit]
-                flat = lists.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                fit = pa.compute.equal(pa.compute.list_value_length(lists), q.shape[1])
+                own_all = b.column(0).filter(fit).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = lists.filter(fit).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
                 for a in range(0, len(own_all), VECTOR_BLOCK):
-                    own, v = own_all[a : a + VECTOR_BLOCK], flat[a : a + VECTOR_BLOCK]
-                    d = np.zeros((len(ids), len(own)))
-                    for j in range(q.shape[1]):
-                        d += (q[:, j, None] - v[None, :, j]) ** 2
-                    if prior_only:
-                        d[own[None, :] >= ids[:, None] + (1 if with_self else 0)] = np.inf
-                    elif not with_self:
-                        d[own[None, :] == ids[:, None]] = np.inf
-                    near_d, near_i = np.hstack([near_d, d]), np.hstack([near_i, np.broadcast_to(own, d.shape)])
-                    order = np.lexsort((near_i, near_d), axis=1)[:, :k]
-                    near_d, near_i = np.take_along_axis(near_d, order, 1), np.take_along_axis(near_i, order, 1)
-            keep = np.isfinite(near_d)
-            out = [np.repeat(ids, keep.sum(axis=1)), near_i[keep], near_d[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "id", "distance"])
+                    found = _block(ids, q, own_all[a : a + VECTOR_BLOCK], flat[a : a + VECTOR_BLOCK], k, prior_only, with_self)
+                    held = _least(*(np.concatenate(x) for x in zip(held, found, strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "id", "distance"])
 
         parts.append(rows.mapInArrow(run, "query_id bigint, id bigint, distance double"))
 

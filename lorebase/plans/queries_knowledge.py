@@ -328,7 +328,22 @@ def leaderboard_pivot(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("slug", "setting", "method", F.array_join(F.array_sort(F.map_keys("values")), "|").alias("metrics"), F.size("values").cast("bigint").alias("n"))
 
 
-@register("leaderboard_markdown")
+@register(
+    "leaderboard_markdown",
+    f"""WITH {_BOARD}, {_LATEST},
+       m AS (SELECT slug, setting, metric, bool_or(higher_is_better) AS up FROM latest GROUP BY 1, 2, 3),
+       heads AS (SELECT slug, setting, min(metric) AS lead, string_agg(metric || CASE WHEN up THEN '↑' ELSE '↓' END, ' | ' ORDER BY metric) AS head, count(*) AS n FROM m GROUP BY 1, 2),
+       ranks AS (SELECT l.slug, l.setting, method, row_number() OVER (PARTITION BY l.slug, l.setting ORDER BY CASE WHEN higher_is_better THEN value ELSE -value END DESC NULLS LAST, method) AS rank
+         FROM latest l JOIN heads h ON l.slug = h.slug AND l.setting = h.setting AND l.metric = h.lead),
+       of_method AS (SELECT slug, setting, method, (max(struct_pack(s := seq, a := arxiv_id))).a AS paper FROM latest GROUP BY 1, 2, 3),
+       cells AS (SELECT k.slug, k.setting, k.method, k.paper, string_agg(coalesce(CAST(l.value AS VARCHAR), '-'), ' | ' ORDER BY m.metric) AS shown
+         FROM of_method k JOIN m ON k.slug = m.slug AND k.setting = m.setting LEFT JOIN latest l ON l.slug = k.slug AND l.setting = k.setting AND l.method = k.method AND l.metric = m.metric GROUP BY 1, 2, 3, 4),
+       ls AS (SELECT c.*, rank, '| ' || coalesce(CAST(rank AS VARCHAR), '-') || ' | ' || c.method || ' | ' || shown || ' | ' || coalesce(paper, '') || ' |  |' AS line
+         FROM cells c LEFT JOIN ranks r ON c.slug = r.slug AND c.setting = r.setting AND c.method = r.method),
+       sections AS (SELECT h.slug, h.setting, '## ' || h.setting || chr(10) || chr(10) || '| Rank | Method | ' || head || ' | Paper | Notes |' || chr(10) || '|---|---|' || repeat('---|', n) || '---|---|' || chr(10)
+           || (SELECT string_agg(line, chr(10) ORDER BY coalesce(rank, 1073741824), method, line) FROM ls WHERE ls.slug = h.slug AND ls.setting = h.setting) AS t FROM heads h)
+       SELECT slug, '# ' || (SELECT min(benchmark) FROM latest l WHERE l.slug = s.slug) || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY setting) || chr(10) AS markdown FROM sections s GROUP BY slug""",
+)
 def leaderboard_markdown(spark: SparkSession, d: str) -> DataFrame:
     return leaderboard.rendered(board(spark, d).filter("value IS NOT NULL"))
 
@@ -385,12 +400,51 @@ def action_class(spark: SparkSession, d: str) -> DataFrame:
     return acted.select("slug", "arxiv_id", "benchmark", "setting", "n_conflicts", "action")
 
 
-@register("conflict_fold")
+#: The fold without a loop: of each look-up the rows that were put down before it, the page that
+#: they make (metrics in columns by name, methods in order of their oldest entry), and the first
+#: number under the first header that names the metric. A line with ``Rank`` is read as a header.
+_FOLD = f"""{_BOARD},
+ papergroups AS (SELECT slug, seq, arxiv_id, setting, min(entry_pos * 1000000 + result_pos) AS gpos FROM board GROUP BY 1, 2, 3, 4),
+ b AS (SELECT board.*, dense_rank() OVER (PARTITION BY slug ORDER BY seq, arxiv_id, gpos) AS g, row_number() OVER (PARTITION BY slug ORDER BY seq, arxiv_id, gpos, entry_pos, result_pos) AS ins
+   FROM board JOIN papergroups USING (slug, seq, arxiv_id, setting)),
+ kept AS (SELECT * FROM b WHERE value IS NOT NULL AND NOT isnan(value)),
+ asked AS (SELECT * FROM kept WHERE NOT is_paper_method),
+ state AS (SELECT q.slug, q.g, k.setting, k.metric, k.method, arg_max(k.value, k.ins) AS value, arg_max(k.arxiv_id, k.ins) AS paper, max(k.ins) AS ins
+   FROM (SELECT DISTINCT slug, g FROM asked) q JOIN kept k ON k.slug = q.slug AND k.g < q.g GROUP BY 1, 2, 3, 4, 5),
+ methods AS (SELECT slug, g, setting, method, min(ins) AS place, arg_max(paper, ins) AS paper FROM state GROUP BY 1, 2, 3, 4),
+ cols AS (SELECT slug, g, setting, metric, row_number() OVER (PARTITION BY slug, g, setting ORDER BY metric) AS col FROM (SELECT DISTINCT slug, g, setting, metric FROM state)),
+ heads AS (SELECT slug, g, setting, lower(metric) AS wanted, min(col) AS col FROM cols GROUP BY 1, 2, 3, 4),
+ cells AS (
+   SELECT slug, g, setting, method, col, value FROM state JOIN cols USING (slug, g, setting, metric)
+   UNION ALL SELECT slug, g, setting, method, n + 1, TRY_CAST(trim(paper) AS DOUBLE) FROM methods JOIN (SELECT slug, g, setting, count(*) AS n FROM cols GROUP BY 1, 2, 3) USING (slug, g, setting)),
+ hits AS (SELECT a.slug, a.ins, c.value AS o, row_number() OVER (PARTITION BY a.slug, a.ins ORDER BY h.setting, c.setting, place) AS n
+   FROM asked a JOIN heads h ON h.slug = a.slug AND h.g = a.g AND h.wanted = lower(a.metric) JOIN cells c ON c.slug = a.slug AND c.g = a.g AND c.col = h.col AND c.value IS NOT NULL
+     AND NOT contains(c.method, 'Rank') AND NOT contains(c.method, '---')
+     AND (contains(lower(trim(c.method)), lower(a.method)) OR contains(lower(a.method), lower(trim(c.method))))
+   JOIN methods p ON p.slug = c.slug AND p.g = c.g AND p.setting = c.setting AND p.method = c.method)"""
+
+
+@register("conflict_fold", f"WITH {_FOLD} SELECT slug, arxiv_id, setting, metric, method, value, o AS existing_value FROM asked JOIN (SELECT * FROM hits WHERE n = 1) USING (slug, ins) WHERE {_CONFLICT}")
 def conflict_fold(spark: SparkSession, d: str) -> DataFrame:
     """The exact paper by paper fold with look-ups in rendered text."""
     return leaderboard.fold(board(spark, d))
 
 
+@register(
+    "paper_experiments",
+    f"""WITH {_READINGS} SELECT arxiv_id, proposed_method AS method_summary, experimental_setup, main_results,
+         coalesce(array_to_string(list_transform(experiment_table.entries, lambda e: coalesce(e.benchmark, '-') || '/' || coalesce(e.setting, '-') || '/' || coalesce(e.metric, '-') || '/'
+           || CASE WHEN coalesce(e.higher_is_better, true) THEN 'higher' ELSE 'lower' END || '/' || CAST(coalesce(len(e.results), -1) AS VARCHAR)), ';'), '') AS benchmarks FROM readings""",
+)
+def paper_experiments(spark: SparkSession, d: str) -> DataFrame:
+    """What each paper's latest reading says of its experiments, the benchmarks as text."""
+    told = experiments.benchmarks_of(latest_readings(spark, d))
+    name = lambda b, c: F.coalesce(b[c], F.lit("-"))
+    count = lambda b: F.when(b["results"].isNull(), -1).otherwise(F.size(b["results"])).cast("string")
+    text = F.transform("benchmarks", lambda b: F.concat_ws("/", name(b, "benchmark"), name(b, "setting"), name(b, "metric"), b["better"], count(b)))
+    return told.withColumn("benchmarks", F.array_join(text, ";"))
+
+
 # --- knowledge base --------------------------------------------------------------------------
 
 
