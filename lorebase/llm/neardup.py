@@ -141,12 +141,10 @@ def estimate(differing: float, samples: int = SKETCH_SAMPLES, bits: int = 64 * S
     return 0.0 if inner <= 0 else max(0.0, 1 + bits / (4 * samples) * math.log(inner))
 
 
-def sign_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(rep, id, shingles, bands, s0..) of each distinct shingle set; texts: (rep, shingles).
+def sign_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, bands, s0..) of the rows (row, shingles); row, a number, becomes the id.
 
-    id is a number in place of the key: what goes through the large exchanges is two numbers. It
-    is only stable once the result is staged.
-    """
+    What goes through the large exchanges is numbers: neither keys nor shingles."""
     rows, bands = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +159,12 @@ def sign_texts(texts: DataFrame, n: int, threshold: float) -> DataFrame:
             for i in range(count):
                 keys[i], sketch[i] = signer.sign(flat[edges[i] : edges[i + 1]])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, count * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            cols = [b.column(0), sets, lists, *(pa.array(np.ascontiguousarray(sketch[:, w])) for w in range(SKETCH_WORDS))]
+            cols = [b.column(0), lists, *(pa.array(np.ascontiguousarray(sketch[:, w])) for w in range(SKETCH_WORDS))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = ["rep", "shingles", "bands", *(f"s{w}" for w in range(SKETCH_WORDS))]
-    kind = dict(texts.dtypes)["rep"]
+    names = ["id", "bands", *(f"s{w}" for w in range(SKETCH_WORDS))]
     longs = ", ".join(f"s{w} bigint" for w in range(SKETCH_WORDS))
-    made = texts.select("rep", "shingles").mapInArrow(run, f"rep {kind}, shingles array<bigint>, bands array<bigint>, {longs}")
-    return made.withColumn("id", F.monotonically_increasing_id())
+    return sets.select("row", "shingles").mapInArrow(run, f"id bigint, bands array<bigint>, {longs}")
 
 
 def candidate_pairs(signed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -178,7 +174,7 @@ def candidate_pairs(signed: DataFrame, threshold: float, block: int = BLOCK) ->
     the join's condition.
     """
     bands = signed.select(F.explode("bands").alias("key"), "id")
-    sketches = signed.drop("shingles", "bands", "rep")
+    sketches = signed.drop("bands")
     # staged: both sides of the pairing read it, and it is a small part of all bands
     members = stage(crowded_members(bands, block), "crowded").join(sketches, "id")
     cols = [f"s{w}" for w in range(SKETCH_WORDS)]
@@ -220,10 +216,10 @@ def near_duplicates(
     hashed = stage(sets, "shingles")
     groups = hashed.groupBy("h1", "h2").agg(F.min("k").alias("rep"), F.min_by("row", F.struct("k", "row")).alias("row"))
     members = stage(hashed.select("k", "h1", "h2").join(groups.drop("row"), ["h1", "h2"]).select(F.col("k").alias(key), "rep").distinct(), "members")
-    reps = hashed.join(groups.select("row"), "row", "left_semi").select(F.col("k").alias("rep"), "shingles")
-    signed = stage(sign_texts(reps, n, threshold), "signed")
+    one = groups.select(F.col("row").alias("id"))
+    signed = stage(sign_sets(hashed, threshold).join(one, "id", "left_semi"), "signed")
     pairs = candidate_pairs(signed, threshold)
-    of = signed.select("id", "rep", "shingles")
+    of = hashed.select(F.col("row").alias("id"), F.col("k").alias("rep"), "shingles")
     a, b = (of.select(F.col("id").alias(f"id_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     limit = Fraction(threshold).limit_denominator(10_000)
     first, second = F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")
