@@ -24,6 +24,6 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from lorebase.plans import queries_knowledge, queries_references, queries_text  # noqa: F401
+    from lorebase.plans import queries_knowledge, queries_references, queries_stages, queries_text  # noqa: F401
 
     return QUERIES, SQL

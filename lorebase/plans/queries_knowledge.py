@@ -238,18 +238,31 @@ _BOARD = f"""{_RESULTS}, board AS (SELECT {_SLUG} AS slug, coalesce(setting, 'de
 _LATEST = "latest AS (SELECT * FROM board WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY slug, setting, metric, method ORDER BY seq DESC, entry_pos DESC, result_pos DESC, value DESC) = 1)"
 
 
-def latest_readings(spark: SparkSession, d: str) -> DataFrame:
+def latest_readings(spark: SparkSession, d: str, undated: bool = False) -> DataFrame:
     """Each paper's latest reading. Readings without a created_at are left out, as in the SQL
-    (``_READINGS``): a paper that has no other is lost to all queries that start here."""
-    rows = load(spark, d, "deep_readings").filter("created_at IS NOT NULL")
-    return gates.first_of_each(rows, ["arxiv_id"], [F.col("created_at").desc(), F.col("problem_statement")])
+    (``_READINGS``), and with them papers that have no other. With ``undated`` they count as the
+    earliest (``_ALL_READINGS``); the queries that end in ``_all`` keep every paper so."""
+    rows = load(spark, d, "deep_readings")
+    kept = rows if undated else rows.filter("created_at IS NOT NULL")
+    return gates.first_of_each(kept, ["arxiv_id"], [F.col("created_at").desc_nulls_last(), F.col("problem_statement").asc_nulls_last()])
 
 
-def board(spark: SparkSession, d: str) -> DataFrame:
-    """Board rows of the papers' latest readings, in order of reading time."""
-    results = experiments.unnest(latest_readings(spark, d)).filter("benchmark IS NOT NULL AND metric IS NOT NULL AND method_name IS NOT NULL")
+def board(spark: SparkSession, d: str, undated: bool = False) -> DataFrame:
+    """Board rows of the papers' latest readings, in order of reading time, undated ones first."""
+    results = experiments.unnest(latest_readings(spark, d, undated)).filter("benchmark IS NOT NULL AND metric IS NOT NULL AND method_name IS NOT NULL")
     clean = results.fillna({"setting": "default", "higher_is_better": True, "is_paper_method": False})
-    return leaderboard.board_rows(clean, F.unix_micros(F.col("created_at").cast("timestamp")))
+    seq = F.unix_micros(F.col("created_at").cast("timestamp"))
+    return leaderboard.board_rows(clean, F.coalesce(seq, F.lit(UNDATED)) if undated else seq)
+
+
+#: The place of readings without a moment: before all others.
+UNDATED = -(1 << 62)
+_ALL_READINGS = "readings AS (SELECT * FROM deep_readings QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY created_at DESC NULLS LAST, problem_statement NULLS LAST) = 1)"
+
+
+def _all(sql: str) -> str:
+    """The SQL over all papers' readings, undated ones as the earliest."""
+    return sql.replace(_READINGS, _ALL_READINGS).replace("epoch_us(created_at)", f"coalesce(epoch_us(created_at), {UNDATED})")
 
 
 @register("unnest_results", f"WITH {_RESULTS} SELECT * EXCLUDE (created_at) REPLACE (coalesce(CAST(is_paper_method AS VARCHAR), 'null') AS is_paper_method, coalesce(CAST(higher_is_better AS VARCHAR), 'null') AS higher_is_better) FROM results")
@@ -503,6 +516,38 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "sota_updates").filter("benchmark IS NOT NULL").select("benchmark", slug(F.col("benchmark")).alias("slug")).distinct()
 
 
+# --- the same with undated readings ----------------------------------------------------------
+
+
+@register("unnest_results_all", _all(f"WITH {_RESULTS} SELECT arxiv_id, entry_pos, result_pos, benchmark, method_name, value FROM results"))
+def unnest_results_all(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.unnest(latest_readings(spark, d, True)).select("arxiv_id", "entry_pos", "result_pos", "benchmark", "method_name", "value")
+
+
+@register("leaderboard_pivot_all", _all(f"WITH {_BOARD}, {_LATEST} SELECT slug, setting, method, string_agg(metric, '|' ORDER BY metric) AS metrics, count(*) AS n FROM latest GROUP BY 1, 2, 3"))
+def leaderboard_pivot_all(spark: SparkSession, d: str) -> DataFrame:
+    wide = leaderboard.pivoted(board(spark, d, True).filter("value IS NOT NULL"))
+    return wide.select("slug", "setting", "method", F.array_join(F.array_sort(F.map_keys("values")), "|").alias("metrics"), F.size("values").cast("bigint").alias("n"))
+
+
+@register(
+    "conflict_as_of_all",
+    _all(f"""WITH {_BOARD}, seen AS (SELECT *, last_value(value) OVER w AS o FROM board WHERE value IS NOT NULL
+         WINDOW w AS (PARTITION BY slug, setting, lower(metric), lower(method) ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+       SELECT slug, setting, metric, arxiv_id, count(*) AS n FROM seen WHERE NOT is_paper_method AND {_CONFLICT} GROUP BY 1, 2, 3, 4"""),
+)
+def conflict_as_of_all(spark: SparkSession, d: str) -> DataFrame:
+    found = leaderboard.conflicts_as_of(board(spark, d, True))
+    return found.groupBy("slug", "setting", "metric", "arxiv_id").agg(F.count("*").alias("n"))
+
+
+@register("kb_query_text_all", _all(f"WITH {_READINGS}, {_TITLES} SELECT arxiv_id, md5(concat_ws(' ', title, problem_statement, proposed_method)) AS query FROM readings JOIN titles USING (arxiv_id)"))
+def kb_query_text_all(spark: SparkSession, d: str) -> DataFrame:
+    titles = load(spark, d, "papers").groupBy("arxiv_id").agg(F.max_by("title", F.struct("created_at")).alias("title"))
+    text = knowledge.query_text(F.col("title"), F.col("problem_statement"), F.col("proposed_method"))
+    return latest_readings(spark, d, True).join(titles, "arxiv_id").select("arxiv_id", F.md5(text).alias("query"))
+
+
 # --- bundles, notes, reports -----------------------------------------------------------------
 
 
