@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +25,51 @@ SKETCH_WORDS = 16
 
 #: Letters and digits of words as numbers from 1, all other bytes 0.
 _SIGNS = np.zeros(256, np.uint64)
-_SIGNS[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = np.arange(1, 37)
+_SIGNS[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"]] = np.arange(1, 37, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, _BASE, np.uint64)), np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
 def shingles(texts: list[str], n: int) -> list[np.ndarray]:
     """Distinct 64-bit hashes of n consecutive words, sorted, of each text; empty for fewer words.
 
     Words are the runs of ``[a-z0-9]`` after lower-casing. All texts are one array of bytes; a
     word's hash is a difference of prefix sums of powers of an odd base.
     """
-    raw = " ".join(t.lower() for t in texts).encode("ascii", "replace")
-    signs = _SIGNS[np.frombuffer(raw, np.uint8)]
+    # bytes of other letters than ASCII ones are no signs of words
+    parts = [t.lower().encode("utf-8", "replace") for t in texts]
+    signs = _SIGNS[np.frombuffer(b" ".join(parts), np.uint8)]
     inside = np.zeros(signs.size + 2, bool)
     inside[1:-1] = signs > 0
     start, stop = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(signs.size + 1, _BASE, np.uint64))
-        down = np.cumprod(np.full(signs.size + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+        up, down = _powers(1 << signs.size.bit_length())
         total = np.zeros(signs.size + 1, np.uint64)
-        np.cumsum((signs * np.uint64(0x9E3779B97F4A7C15)) * up[:-1], out=total[1:])
+        np.cumsum(signs * up[: signs.size], out=total[1:])
         word = _mix((total[stop] - total[start]) * down[start])
         grams = word[: max(0, word.size - n + 1)].copy()
         for i in range(1, n):
             grams = _mix(grams * np.uint64(0x9FB21C651E98DF25) + word[i : i + grams.size])
-    edges = np.searchsorted(start, np.cumsum([0, *(len(t.lower()) + 1 for t in texts)]))
-    return [np.unique(grams[a : max(a, b - n + 1)].view(np.int64)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    edges = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in parts)]))
+    first, last = edges[:-1], np.maximum(edges[:-1], edges[1:] - n + 1)
+    values, inside = grams.view(np.int64), np.zeros(grams.size + 1, np.int8)
+    for i, j in zip(first.tolist(), last.tolist(), strict=True):
+        values[i:j].sort()
+    np.add.at(inside, first, 1)
+    np.add.at(inside, last, -1)
+    kept = np.cumsum(inside[:-1]) > 0
+    same = np.zeros(grams.size, bool)
+    same[1:] = values[1:] == values[:-1]
+    same[first[first < last]] = False
+    kept &= ~same
+    sizes = np.concatenate([[0], np.cumsum(kept)])
+    return np.split(values[kept], (sizes[last] - sizes[first]).cumsum()[:-1]) if texts else []
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -115,15 +135,21 @@ class Signer:
 
     def sign(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(band keys, sketch words), both int64."""
-        low = self.minhash(hashes).astype(np.uint64)
-        keys = self.band_salt.copy()
-        rows = low[: self.rows * self.bands].reshape(self.bands, self.rows)
+        keys, sketches = self.finish(self.minhash(hashes)[None, :])
+        return keys[0], sketches[0]
+
+    def finish(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(band keys, sketch words) of rows of MinHash values, all rows at once."""
+        n, low = len(low), low.astype(np.uint64)
+        keys = np.repeat(self.band_salt[None, :], n, axis=0)
+        rows = low[:, : self.rows * self.bands].reshape(n, self.bands, self.rows)
         for r in range(self.rows):
-            keys = _mix(keys ^ (rows[:, r] + self.row_salt[r]))
-        bits = _mix(low[: self.samples] ^ self.sample_salt) % np.uint64(64 * self.words)
-        odd = np.bincount(bits.astype(np.int64), minlength=64 * self.words) & 1
-        sketch = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-        return keys.view(np.int64), sketch.view(np.int64)
+            keys = _mix(keys ^ (rows[:, :, r] + self.row_salt[r]))
+        bits = (_mix(low[:, : self.samples] ^ self.sample_salt) % np.uint64(64 * self.words)).astype(np.int64)
+        places = (bits + np.arange(n, dtype=np.int64)[:, None] * (64 * self.words)).ravel()
+        odd = np.bincount(places, minlength=n * 64 * self.words) & 1
+        sketch = np.packbits(odd.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+        return keys.view(np.int64), np.ascontiguousarray(sketch).view(np.int64)
 
 
 def most_differing_bits(threshold: float, samples: int = SKETCH_SAMPLES, bits: int = 64 * SKETCH_WORDS, slack: float = 4.0) -> int:
@@ -154,10 +180,10 @@ def sign_sets(sets: DataFrame, threshold: float) -> DataFrame:
             flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             edges = sets.offsets.to_numpy() - sets.offsets[0].as_py()
             count = len(sets)
-            keys = np.empty((count, bands), dtype=np.int64)
-            sketch = np.empty((count, SKETCH_WORDS), dtype=np.int64)
+            low = np.empty((count, signer.k), dtype=np.uint32)
             for i in range(count):
-                keys[i], sketch[i] = signer.sign(flat[edges[i] : edges[i + 1]])
+                low[i] = signer.minhash(flat[edges[i] : edges[i + 1]])
+            keys, sketch = signer.finish(low)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, count * bands + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
             cols = [b.column(0), lists, *(pa.array(np.ascontiguousarray(sketch[:, w])) for w in range(SKETCH_WORDS))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
