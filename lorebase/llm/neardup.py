@@ -57,7 +57,8 @@ def shingles(texts: list[str], n: int) -> list[np.ndarray]:
         for i in range(1, n):
             grams = _mix(grams * np.uint64(0x9FB21C651E98DF25) + word[i : i + grams.size])
     edges = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in parts)]))
-    first, last = edges[:-1], np.maximum(edges[:-1], edges[1:] - n + 1)
+    first = np.minimum(edges[:-1], grams.size)
+    last = np.maximum(first, edges[1:] - n + 1)
     values, inside = grams.view(np.int64), np.zeros(grams.size + 1, np.int8)
     for i, j in zip(first.tolist(), last.tolist(), strict=True):
         values[i:j].sort()
