@@ -6,6 +6,8 @@ documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,22 +74,33 @@ def sections_from_bounds(text: Column, bounds: Column) -> Column:
     Unknown names are skipped, missing bounds are the text's, all are clamped; a name that comes
     again is appended after a blank line. Null if nothing valid is left.
     """
-    all_lines = lines(text)
-    n = F.size(all_lines)
-
-    def piece(b: Column) -> Column:
-        start = F.greatest(F.lit(0), F.coalesce(b["start_line"], F.lit(1)) - 1)
-        end = F.least(n, F.coalesce(b["end_line"], n))
-        part = F.slice(all_lines, F.least(start, n) + 1, F.greatest(F.lit(0), end - start))
-        return F.struct(strip(F.lower(b["name"])).alias("name"), strip(F.array_join(part, "\n")).alias("body"))
-
-    parts = F.filter(F.transform(bounds, piece), lambda s: s["name"].isin(*STANDARD) & (F.length(s["body"]) > 0))
-    names = F.array_distinct(F.transform(parts, lambda s: s["name"]))
-    joined = F.transform(
-        names,
-        lambda k: F.struct(k.alias("name"), F.array_join(F.transform(F.filter(parts, lambda s: s["name"] == k), lambda s: s["body"]), "\n\n").alias("body")),
-    )
-    return F.when(F.size(joined) > 0, joined)
+
+    def pieces(ls: Column, bs: Column) -> Column:
+        n = F.size(ls)
+
+        def piece(b: Column) -> Column:
+            start = F.greatest(F.lit(0), F.coalesce(b["start_line"], F.lit(1)) - 1)
+            end = F.least(n, F.coalesce(b["end_line"], n))
+            part = F.slice(ls, F.least(start, n) + 1, F.greatest(F.lit(0), end - start))
+            return F.struct(strip(F.lower(b["name"])).alias("name"), strip(F.array_join(part, "\n")).alias("body"))
+
+        return F.filter(F.transform(bs, piece), lambda s: s["name"].isin(*STANDARD) & (F.length(s["body"]) > 0))
+
+    def joined(parts: Column) -> Column:
+        names = F.array_distinct(F.transform(parts, lambda s: s["name"]))
+        return F.transform(
+            names,
+            lambda k: F.struct(k.alias("name"), F.array_join(F.transform(F.filter(parts, lambda s: s["name"] == k), lambda s: s["body"]), "\n\n").alias("body")),
+        )
+
+    parts = once(F.struct(lines(text).alias("ls"), bounds.alias("bs")), lambda x: pieces(x["ls"], x["bs"]))
+    found = once(parts, joined)
+    return once(found, lambda x: F.when(F.size(x) > 0, x))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def section_map(sections: Column, text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lorebase.operators.gates import top_of_each
 
 #: Queries that are sent to the tasks at once, and vectors compared with them at once.
-QUERY_BLOCK, VECTOR_BLOCK = 8_192, 1_024
+QUERY_BLOCK, VECTOR_BLOCK = 4_096, 1_024
 
 
 def _least(at: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
