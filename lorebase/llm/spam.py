@@ -45,7 +45,8 @@ NEAR, PHRASE_NEAR, SIGNS_NEAR = 30, 9, 18
 
 #: What the weak labels are voted from. ``spam_share`` is not voted on; it scores pages where no trees can be fitted.
 SIGNALS = ["spam_share", "linked", "repeated", "listed", "fields", "prose", "marked", "named", "squeezed"]
-#: What the trees see.
+#: What the trees see: other measures than the shares above, though of the same kinds of things;
+#: ``compression`` alone is a signal (``squeezed``, one vote) as well.
 FEATURES = [
     "mark_share", "links_per_100", "words_per_link", "hash_share", "digits", "technical", "items_per_word", "words_per_item", "short_items", "capital_items",
     "ended", "sentence_words", "piece_words", "line_chars", "short_lines", "word_again", "long_word_again", "phrase_again", "phrase_windows", "short_words",
@@ -411,8 +412,8 @@ def weak_label() -> Column:
 def score_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", sample: int = SAMPLE) -> DataFrame:
     """(<key>, host, p_page, host_rate, p_spam) of every row.
 
-    Weak labels are voted from signals (``weak_label``) that the trees don't see. Bagged trees on
-    FEATURES, fitted on at most ``sample`` labelled pages, half of each label at most, the first
+    Weak labels are voted from signals (``weak_label``), of which the trees see but the compression.
+    Bagged trees on FEATURES, fitted on at most ``sample`` labelled pages, half of each label at most, the first
     in the order of a hash of key and features, score all pages. The spam rate of a host, over
     all its pages, shrunk to the overall rate, then shifts the page's log-odds by WEIGHT times
     its distance from the overall log-odds.
