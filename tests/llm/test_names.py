@@ -88,3 +88,37 @@ def test_role_pairs(spark, block):
     got = [tuple(r) for r in buckets.role_pairs(df, "short", ["c"], lambda x, y: x("c") == y("c"), block).collect()]
     want = {(i, j) for (k, i, s, c), (m, j, t, d) in itertools.product(rows, rows) if k == m and i < j and (s or t) and c == d}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def brute(rows):
+    return {(x, y) for x, y in itertools.combinations(sorted(rows), 2) if names.fitting(x, y)}
+
+
+def test_candidates_grow_as_what_is_alike(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bp") + rng.choice(["a", "e", "i", "o", "u", "ai", "ou"]) + rng.choice("mn") + rng.choice("aeiou") for _ in range(2)) + rng.choice("lr") for _ in range(260)]
+    people = [f"{g} {w.title()}" for i, w in enumerate(words) for g in [GIVEN[i % 3]]]
+    groups = [f"{w.title()} {k}" for i, w in enumerate(words) for k in [["Institute", "Robotics Group", "Research Center"][i % 3]]]
+    heads = [f"{g[0]}. {w.title()}" for i, w in enumerate(words[::3]) for g in [GIVEN[i % 3]]]
+    slips = [f"{GIVEN[i % 3]} {slipped(rng, w).title()}" for i, w in enumerate(words[:60])] + [f"{slipped(rng, w).title()} Institute" for w in words[:60:3]]
+    rows = sorted({*people, *groups, *heads, *slips})
+    got = [tuple(r) for r in names.candidates(spark.createDataFrame([(x,) for x in rows], "id string")).collect()]
+    want = brute(rows)
+    assert len(want) > 100 and len(got) == len(set(got)) and want <= set(got)
+    assert len(got) < 6 * len(want)  # 69,824 pairs of these share a code
+
+
+def test_groups_share_a_key_only_if_two_words_at_most_differ():
+    key = lambda x: set(names.blocks(names.readings(x)[0]))
+    assert key("Raileth Institute").isdisjoint(key("Roludo Institute")) and key("Raileth Robotics Group").isdisjoint(key("Morvun Robotics Group"))
+    for a, b in (("Raileth Institute", "Raieth Institute"), ("Raileth Research Center", "Raileht Researrch Center"), ("Raileth Robotics Group", "Group Raileth Robotics"), ("Railethovarim Institute", "Raliethvarim Institute"), ("Raileth Robotics Group", "Aileth Robtics Group"), ("Zaileth Robotics Lab", "Paileth Robotics Lab"), ("Saileth Robtics Lab", "Aileth Robotics Lab"), ("Zaileth Institute", "Aaileth Institute")):
+        assert names.same_name(a, b) == (not key(a).isdisjoint(key(b))) == True, (a, b)  # noqa: E712
+
+
+def test_halves():
+    rng = random.Random(3)
+    for _ in range(3000):
+        w = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        at = rng.randrange(len(w))
+        v = rng.choice([w[:at] + w[at + 1 :], w[:at] + "x" + w[at + 1 :], w[:at] + "x" + w[at:], w[:at] + w[at : at + 2][::-1] + w[at + 2 :]])
+        assert set(names.halves(w)) & set(names.halves(v)), (w, v)
